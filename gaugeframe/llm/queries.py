@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gaugeframe.llm.decontam import op7_decontamination
 from gaugeframe.llm.langid import op8_language_id
+from gaugeframe.llm.lm_score import op1_lm_scoring
 from gaugeframe.llm.mixing import op6_mixing
 from gaugeframe.llm.site_lines import OP5_SQL, op5_line_dedup
 from gaugeframe.llm.toxicity import op9_toxicity
@@ -11,7 +12,7 @@ from gaugeframe.llm.unit_dedup import OP4_SQL, op4_substring_dedup
 
 
 def queries() -> dict:
-    named = (op4_substring_dedup, op5_line_dedup, op6_mixing, op7_decontamination, op8_language_id, op9_toxicity)
+    named = (op1_lm_scoring, op4_substring_dedup, op5_line_dedup, op6_mixing, op7_decontamination, op8_language_id, op9_toxicity)
     return {f.__name__: f for f in named}
 
 
