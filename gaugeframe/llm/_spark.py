@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,6 +45,18 @@ def stored(df: DataFrame, what: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of finished steps that nothing refers to any more.
+
+    References go in two hops (Python's, then the JVM's), each some time after its collection.
+    """
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.4)
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total: int, share: int = 1000, how: str = "left") -> DataFrame:
     """big joined to small on keys without skew.
 

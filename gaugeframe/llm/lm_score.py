@@ -24,7 +24,6 @@ and V are 0 and every token has probability 1.
 
 from __future__ import annotations
 
-import gc
 import math
 import zlib
 
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import _bytes
-from gaugeframe.llm._spark import fold, stored, table, text_digest
+from gaugeframe.llm._spark import fold, release, stored, table, text_digest
 
 U64 = np.uint64
 END = U64(0x5E2D58D8B3BCDEF1)
@@ -211,8 +210,7 @@ def score(docs: DataFrame, training, *, key: str = "doc_id", text: str = "text",
     asked = dealt.groupBy("_block").applyInArrow(_asked(order, blocks), "range bigint, block bigint, n int, grams binary, counts binary")
     answers = stored(asked.groupBy("range").applyInArrow(_answered, "range bigint, block bigint, n int, totals binary, tokens bigint, types bigint, ones bigint, twos bigint"), "lm-answers")
     del asked
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # lets Spark drop the first round's shuffle files
+    release(spark)  # the first round's shuffle files
     facts = answers.filter("n = 1").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "ones", "twos")]).first().asDict()
     kind = docs.schema[key].dataType.simpleString()
 
