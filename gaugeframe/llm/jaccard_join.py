@@ -243,10 +243,11 @@ def runs_for(recall: float, threshold: float, depth: int) -> int:
     return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - survive))))
 
 
-def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, depth: int = 2, small: int = 1024, block: int = 128) -> DataFrame:
+def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, depth: int = 2, small: int = 1024, block: int = 128, with_digest: bool = False) -> DataFrame:
     """One row per document: key, class_id, n_links, and keep (the first document of its class).
 
-    ``class_id`` is the smallest key among the documents that links connect.
+    ``class_id`` is the smallest key among the documents that links connect. ``with_digest`` adds
+    _digest, which with the key names the row's text.
     """
     runs = runs_for(recall, threshold, depth)
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_digest", text_digest(F.col("_text")))
@@ -290,7 +291,8 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     joined = lookup(full.select("_key", "_digest", "cid"), named, ["cid"], "n", max(1, full.count()), how="left")
     out = joined.select("_key", "_digest", F.col("first._key").alias("class_id"), "n_links", ((F.col("first._key").eqNullSafe(F.col("_key"))) & (F.col("first._digest") == F.col("_digest"))).alias("keep"))
     empty = made.filter("size = 0").select("_key", "_digest", F.col("_key").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), F.lit(True).alias("keep"))
-    return out.unionByName(empty).withColumnRenamed("_key", key)
+    out = out.unionByName(empty).withColumnRenamed("_key", key)
+    return out if with_digest else out.drop("_digest")
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
