@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from gaugeframe.plans import metric_queries  # noqa: F401
+from gaugeframe.plans.registry import QUERIES, SQL
+
 
 def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+    return QUERIES["auroc_global"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
