@@ -33,14 +33,14 @@ def side(label: Column) -> Column:
     return F.when(label == 1, F.lit("positive")).otherwise(F.lit("negative"))
 
 
-def quantile(df: DataFrame, keys: list[str], radius: str, alpha: float | Column) -> DataFrame:
+def quantile(df: DataFrame, keys: list[str], radius: str, alpha: float | Column, wide: bool = True) -> DataFrame:
     """keys, n, k, q: the k-th smallest radius with k = ceil((n+1)(1-alpha)); infinite if k > n.
 
     The order statistic comes from counts by value and their running sum, not from a sorted list.
     """
     a = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
     counts = df.groupBy(*keys, radius).agg(F.count("*").alias("_c"))
-    upto = running(counts, keys, radius, {"_upto": "_c"})
+    upto = running(counts, keys, radius, {"_upto": "_c"}, wide=wide)
     n = counts.groupBy(*keys).agg(F.sum("_c").alias("n")).withColumn("k", F.ceil((F.col("n") + 1) * (F.lit(1.0) - a)).cast("bigint"))
     found = on(keys, upto, n).filter("_upto >= k").groupBy(*keys).agg(F.min(radius).alias("_q"))
     joined = n.join(found, keys, "left") if keys else n.join(F.broadcast(found), F.lit(True), "left")

@@ -77,7 +77,7 @@ def bootstrap_auc_difference(df: DataFrame, unit: str, label: str, first: str, s
     """Interval of AUROC(first) - AUROC(second); replicates with one class are skipped and counted."""
     rows = df.join(_draws(df, unit, replicates, seed), unit)
     long = rows.select("rep", label, "times", F.expr(f"stack(2, 1, cast({first} as double), 2, cast({second} as double)) as (which, score)"))
-    both = auroc(long, ["rep", "which"], "score", label, F.col("times"))
+    both = auroc(long, ["rep", "which"], "score", label, F.col("times"), wide=False)
     diff = both.groupBy("rep").agg(F.sum(F.when(F.col("which") == 1, F.col("auroc")).otherwise(-F.col("auroc"))).alias("d"))
     ok = F.when(~F.isnan("d"), F.col("d"))
     tail = (1 - confidence) / 2

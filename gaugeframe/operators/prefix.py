@@ -25,8 +25,15 @@ def with_buckets(df: DataFrame, keys: list[str], order: str, descending: bool =
     return placed.withColumn("_b", -number if descending else number).drop("_cuts")
 
 
-def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], descending: bool = False, ties: tuple[str, ...] = (), bucketed: bool = False) -> DataFrame:
-    """Adds inclusive running sums {new column: summed column} in order of ``order`` within keys."""
+def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], descending: bool = False, ties: tuple[str, ...] = (), bucketed: bool = False, wide: bool = True) -> DataFrame:
+    """Adds inclusive running sums {new column: summed column} in order of ``order`` within keys.
+
+    ``wide`` spreads a key's rows over buckets; without it one window per key does (a shorter plan,
+    for keys whose distinct values fit a task, as inside the protocol).
+    """
+    if not wide:
+        window = Window.partitionBy(*keys).orderBy(F.desc(order) if descending else F.asc(order), *ties).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select(*[c for c in df.columns if c != "_b"], *[F.sum(c).over(window).alias(n) for n, c in sums.items()])
     placed = df if bucketed else with_buckets(df, keys, order, descending)
     totals = placed.groupBy(*keys, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     ahead = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -37,10 +44,10 @@ def running(df: DataFrame, keys: list[str], order: str, sums: dict[str, str], de
     return joined.select(*[c for c in df.columns if c != "_b"], *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
-def hash_rank(df: DataFrame, keys: list[str], digest: str, name: str = "rank", ties: tuple[str, ...] = ()) -> DataFrame:
+def hash_rank(df: DataFrame, keys: list[str], digest: str, name: str = "rank", ties: tuple[str, ...] = (), wide: bool = True) -> DataFrame:
     """Adds the 1-based rank by a hex digest; the buckets are its leading digits, even by design."""
     placed = df.withColumn("_b", F.substring(digest, 1, 2)).withColumn("_one", F.lit(1).cast("bigint"))
-    out = running(placed, keys, digest, {name: "_one"}, ties=ties, bucketed=True)
+    out = running(placed, keys, digest, {name: "_one"}, ties=ties, bucketed=True, wide=wide)
     return out.drop("_one")
 
 

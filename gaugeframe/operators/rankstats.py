@@ -19,17 +19,17 @@ def blocks(df: DataFrame, keys: list[str], score: str, label: str, weight: Colum
     return df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(*keys, score).agg(total(F.when(F.col(label) == 1, w)).alias("p"), total(F.when(F.col(label) == 0, w)).alias("n"))
 
 
-def auroc(df: DataFrame, keys: list[str], score: str, label: str, weight: Column | None = None) -> DataFrame:
+def auroc(df: DataFrame, keys: list[str], score: str, label: str, weight: Column | None = None, wide: bool = True) -> DataFrame:
     """Rank AUROC with ties as half; NaN if a class is empty. ``weight`` counts rows repeatedly."""
-    cum = running(blocks(df, keys, score, label, weight), keys, score, {"upto": "n"})
+    cum = running(blocks(df, keys, score, label, weight), keys, score, {"upto": "n"}, wide=wide)
     both = F.sum("p") * F.sum("n")
     value = F.sum(F.col("p") * (F.col("upto") - F.col("n") / 2.0))
     return cum.groupBy(*keys).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.when(both > 0, value / F.nullif(both, F.lit(0))).otherwise(F.lit(NAN)).alias("auroc"))
 
 
-def average_precision(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+def average_precision(df: DataFrame, keys: list[str], score: str, label: str, wide: bool = True) -> DataFrame:
     """Sum over tie blocks of the recall gained times the precision at the block's end."""
-    cum = running(blocks(df, keys, score, label).withColumn("all", F.col("p") + F.col("n")), keys, score, {"tp": "p", "seen": "all"}, descending=True)
+    cum = running(blocks(df, keys, score, label).withColumn("all", F.col("p") + F.col("n")), keys, score, {"tp": "p", "seen": "all"}, descending=True, wide=wide)
     value = F.sum(F.col("p") * F.col("tp") / F.col("seen"))
     return cum.groupBy(*keys).agg(F.when(F.sum("p") > 0, value / F.nullif(F.sum("p"), F.lit(0))).otherwise(F.lit(NAN)).alias("average_precision"))
 
@@ -69,7 +69,7 @@ def binary_suite(df: DataFrame, keys: list[str], score: str, label: str, thresho
     )
 
 
-def threshold_argmax(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+def threshold_argmax(df: DataFrame, keys: list[str], score: str, label: str, wide: bool = True) -> DataFrame:
     """Threshold of best balanced accuracy under ``score > threshold``.
 
     Candidates are the double below the least score, the midpoints of neighbouring distinct scores,
@@ -78,7 +78,17 @@ def threshold_argmax(df: DataFrame, keys: list[str], score: str, label: str) ->
     from gaugeframe.functions.scalars import below
 
     grouped = blocks(df, keys, score, label).withColumn("one", F.lit(1).cast("bigint"))
-    cum = running(grouped, keys, score, {"p_upto": "p", "n_upto": "n", "place": "one"})
+    cum = running(grouped, keys, score, {"p_upto": "p", "n_upto": "n", "place": "one"}, wide=wide)
+    if not wide:
+        ahead = Window.partitionBy(*keys).orderBy(score)
+        cum = cum.withColumn("_next", F.lead(score).over(ahead))
+        every = Window.partitionBy(*keys)
+        full = cum.withColumn("_p", F.sum("p").over(every)).withColumn("_n", F.sum("n").over(every)).withColumn("_least", F.min(score).over(every)).filter("_p > 0 and _n > 0")
+        quality = ((F.col("_p") - F.col("p_upto")) / F.col("_p") + F.col("n_upto") / F.col("_n")) / 2.0
+        own = F.struct(F.coalesce((F.col(score) + F.col("_next")) / 2.0, F.col(score)).alias("t"), quality.alias("ba"))
+        edge = F.struct(below(F.col("_least").cast("double")).alias("t"), F.lit(0.5).alias("ba"))
+        points = full.select(*keys, F.explode(F.array(own, edge)).alias("x")).select(*keys, "x.t", "x.ba", F.max("x.ba").over(every).alias("best"))
+        return points.filter("best - ba <= 1e-15").groupBy(*keys).agg(F.min("t").alias("threshold"), F.max("best").alias("balanced_accuracy"))
     # the next distinct score, by place: an equi-join instead of a window over all scores
     after = cum.select(*keys, (F.col("place") - 1).alias("place"), F.col(score).alias("_next"))
     cum = cum.join(after, [*keys, "place"], "left")

@@ -9,12 +9,12 @@ from gaugeframe.functions.hashing import stable_hex, unit_interval_split
 from gaugeframe.operators.prefix import hash_rank, on
 
 
-def exact_split(df: DataFrame, unit: str, seed: int, namespace: str = "unit-split") -> DataFrame:
+def exact_split(df: DataFrame, unit: str, seed: int, namespace: str = "unit-split", wide: bool = True) -> DataFrame:
     """(unit, split): exact 60/20/20 of the distinct units by hash rank, left-over seats by largest
     remainder in the order train, calibration, test."""
     units = df.select(unit).distinct().withColumn("_h", stable_hex(namespace, seed, F.col(unit)))
     n = units.agg(F.count("*").alias("_n"))
-    ranked = on([], hash_rank(units, [], "_h", "_rank", (unit,)), n)
+    ranked = on([], hash_rank(units, [], "_h", "_rank", (unit,), wide=wide), n)
     # largest remainder of (.6, .2, .2) n: fractions of fifths, so only n mod 5 decides
     base_train, base_cal = F.floor(F.col("_n") * 3 / F.lit(5)), F.floor(F.col("_n") / 5)
     r5 = F.col("_n") % 5

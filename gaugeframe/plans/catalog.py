@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from gaugeframe.plans import metric_queries  # noqa: F401
+from gaugeframe.plans import evidence_queries, metric_queries, protocol_queries  # noqa: F401
 from gaugeframe.plans.registry import QUERIES, SQL
 
 
 def flagship(spark, sf_dir: str):
-    return QUERIES["auroc_global"](spark, sf_dir)
+    return QUERIES["protocol_test_metrics"](spark, sf_dir)
 
 
 def queries() -> dict:
