@@ -170,33 +170,65 @@ def _forest(near, n: int) -> list[tuple[int, int]]:
 
 
 def _candidates(threshold: float):
-    """Brute force in a bucket: a forest of the pairs whose sketches and sizes allow the threshold."""
+    """Brute force in every bucket of a batch of buckets: a forest, over the whole batch, of the
+    pairs whose sketches and sizes allow the threshold (so a pair that meets on many paths of a batch
+    is given once, and no more edges leave than the batch has sets)."""
     least = int(SKETCH * ((1 + threshold) / 2 - 0.06))
 
-    def run(bucket: pa.Table) -> pa.Table:
-        ids = np.array(bucket.column("cid"))
-        order = np.argsort(ids)
-        ids = ids[order]
-        size = np.array(bucket.column("size"))[order]
-        bits = np.array([np.frombuffer(x, U64) for x in bucket.column("sketch").to_pylist()])[order]
-
-        def near(i: int) -> np.ndarray:
-            agree = SKETCH - np.bitwise_count(bits ^ bits[i]).sum(1)
-            return (agree >= least) & (np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i]) - 1e-9)
-
-        edges = _forest(near, len(ids))
+    def run(batch: pa.Table) -> pa.Table:
+        cid, path = np.array(batch.column("cid")), np.array(batch.column("path"))
+        ids, first, at = np.unique(cid, return_index=True, return_inverse=True)
+        size = np.array(batch.column("size"))[first]
+        blobs = batch.column("sketch")
+        bits = np.array([np.frombuffer(blobs[int(i)].as_py(), U64) for i in first])
+        order = np.lexsort((at, path))
+        path, at = path[order], at[order]
+        cuts = np.flatnonzero(np.diff(path, prepend=path[0] - 1))
+        parent = np.arange(len(ids))
+
+        def root(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return int(i)
+
+        edges = []
+        for a, b in zip(cuts, [*cuts[1:], len(path)], strict=True):
+            own = at[a:b]
+            if len({root(i) for i in own.tolist()}) == 1:
+                continue  # all of them are connected already
+            w, n = bits[own], size[own]
+
+            def near(i: int, w=w, n=n) -> np.ndarray:
+                agree = SKETCH - np.bitwise_count(w ^ w[i]).sum(1)
+                return (agree >= least) & (np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i]) - 1e-9)
+
+            for i, j in _forest(near, len(own)):
+                x, y = root(int(own[i])), root(int(own[j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    edges.append((int(own[i]), int(own[j])))
         return pa.table({"a": pa.array([int(ids[i]) for i, _ in edges], pa.int64()), "b": pa.array([int(ids[j]) for _, j in edges], pa.int64())})
 
     return run
 
 
+def _texts_of(rows: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
+    """The texts of chosen (_k, _d, ...), each once. Up to ``most`` chosen rows (counted first) go by
+    broadcast, so the texts are not shuffled; more meet them in a shuffle."""
+    if chosen.count() <= most:
+        chosen = F.broadcast(chosen)
+    found = rows.join(chosen, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d"))).drop("_key", "_digest", "_k", "_d")
+    return found
+
+
 def _compare(threshold: float):
     """Exact comparison of one component, or of one pair of blocks of a large component: links of
     each member (weighted by copies) and a forest of the links."""
 
     def run(part: pa.Table) -> pa.Table:
         ids, copies, side = np.array(part.column("cid")), np.array(part.column("n")), np.array(part.column("side"))
-        order = np.argsort(ids, kind="stable")
+        order = np.unique(ids, return_index=True)[1]
         ids, copies, side = ids[order], copies[order], side[order]
         blobs = part.column("tokens").to_pylist()
         sets = [np.frombuffer(blobs[i], U64) for i in order]
@@ -243,7 +275,7 @@ def runs_for(recall: float, threshold: float, depth: int) -> int:
     return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - survive))))
 
 
-def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, depth: int = 2, small: int = 1024, block: int = 128, with_digest: bool = False) -> DataFrame:
+def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, depth: int = 2, small: int = 1024, block: int = 1024, batch_rows: int = 100_000, broadcast_rows: int = 1_000_000, with_digest: bool = False) -> DataFrame:
     """One row per document: key, class_id, n_links, and keep (the first document of its class).
 
     ``class_id`` is the smallest key among the documents that links connect. ``with_digest`` adds
@@ -263,22 +295,23 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
         last = depth >= 8
         brute = met if last else met.filter(F.col("members") <= small)
         bucket = brute.join(classes.select("cid", "size", "sketch"), "cid").select("path", "cid", "size", "sketch")
-        found = stored(bucket.groupBy("path").applyInArrow(_candidates(threshold), "a bigint, b bigint").distinct(), "pairs")
+        batches = max(1, -(-brute.count() // batch_rows))
+        found = stored(bucket.groupBy(F.pmod(F.xxhash64("path"), F.lit(batches)).alias("batch")).applyInArrow(_candidates(threshold), "a bigint, b bigint").distinct(), "pairs")
         edges = found if edges is None else edges.unionByName(found)
         wide = met.filter(F.col("members") > small).select("cid").distinct()
         if last or wide.isEmpty():
             break
         depth += 2  # split the large buckets on longer paths
-        again = rows.join(classes.join(wide, "cid").select("cid", F.col("rep._key").alias("_k"), F.col("rep._digest").alias("_d")), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d"))).select("cid", "_text").dropDuplicates(["cid"])
+        again = _texts_of(rows, stored(classes.join(wide, "cid").select("cid", F.col("rep._key").alias("_k"), F.col("rep._digest").alias("_d")), "wide"), broadcast_rows)
         deeper = map_text(again, "_text", ["cid"], "sig bigint, size int, sketch binary, paths array<bigint>", _Kernel(width, depth, runs_for(recall, threshold, depth), threshold))
-        pairs = stored(deeper.select("cid", F.explode("paths").alias("path")), "paths")
+        pairs = stored(deeper.select("cid", F.explode("paths").alias("path")).distinct(), "paths")
     groups = components(edges).withColumnsRenamed({"node": "cid", "root": "comp"})
     sized = groups.join(groups.groupBy("comp").agg(F.count("*").alias("g")), "comp")
     member = stored(sized.join(classes.select("cid", "n", F.col("rep._key").alias("_k"), F.col("rep._digest").alias("_d")), "cid"), "members")
-    texts = rows.join(member, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d"))).select("_text", "cid", "comp", "g", "n").dropDuplicates(["cid"])
-    sets = map_text(texts, "_text", ["cid", "comp", "g", "n"], "tokens binary", _Sets(width))
-    # a component of up to `small` sets is one task's group; a larger one is compared block by block
-    blocks = F.when(F.col("g") <= block * 4, F.lit(1)).otherwise(F.ceil(F.col("g") / block)).cast("int")
+    texts = _texts_of(rows, member.select("cid", "comp", "g", "n", "_k", "_d"), broadcast_rows)
+    sets = map_text(texts, "_text", ["cid", "comp", "g", "n"], "tokens binary", _Sets(width))  # repeated rows repeat a set; _compare drops them
+    # a component of up to two blocks is one task's group; a larger one is compared block by block
+    blocks = F.when(F.col("g") <= block * 2, F.lit(1)).otherwise(F.ceil(F.col("g") / block)).cast("int")
     sets = sets.withColumn("nb", blocks).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     spread = sets.select("cid", "comp", "n", "tokens", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
     spread = spread.select("cid", "comp", "n", "tokens", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), (F.col("i") > F.col("j")).alias("side"))
