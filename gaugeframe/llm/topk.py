@@ -134,6 +134,8 @@ def top_k(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector:
 
     def run(queries: pa.Table, tile: pa.Table) -> pa.Table:
         ask, rows = [], {"uid": [], "place": [], "query_id": [], "vec_id": [], "score": []}
+        if "uid" not in tile.column_names or "uid" not in queries.column_names:  # one side of a tile can be missing
+            return pa.table(rows, pa.schema([(x, pa.int64()) for x in rows]))
         for row in queries.to_pylist():
             ids, m = _matrix(row)
             ask += [(row["uid"], int(p), int(ids[p]), m[p]) for p in np.flatnonzero(np.frombuffer(row["asked"], bool))]
