@@ -129,17 +129,18 @@ def top_k(vectors: DataFrame, is_query: Column, *, key: str = "vec_id", vector:
     asking = blocks.filter(F.locate("01", F.hex("asked")) > 0)
     n_asking = asking.count()
     groups = max(1, -(-n_asking * min(block_rows, tile_queries) // (20 * tile_queries)))
-    tiles = blocks.select("*", F.pmod(F.xxhash64("uid"), F.lit(slices)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    asked = asking.select("uid", "ids", "width", "rows", "asked", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))).alias("s"))
+    # both sides come from one table: fresh names keep their columns apart
+    tiles = blocks.select(*[F.col(c).alias(f"b_{c}") for c in ("uid", "ids", "width", "rows")], F.pmod(F.xxhash64("uid"), F.lit(slices)).alias("s"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    asked = asking.select(*[F.col(c).alias(f"q_{c}") for c in ("uid", "ids", "width", "rows", "asked")], F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))).alias("s"))
 
     def run(queries: pa.Table, tile: pa.Table) -> pa.Table:
         ask, rows = [], {"uid": [], "place": [], "query_id": [], "vec_id": [], "score": []}
-        if "uid" not in tile.column_names or "uid" not in queries.column_names:  # one side of a tile can be missing
+        if not tile.num_rows or not queries.num_rows:  # one side of a tile can be missing
             return pa.table(rows, pa.schema([(x, pa.int64()) for x in rows]))
-        for row in queries.to_pylist():
+        for row in ({k[2:]: v for k, v in r.items()} for r in queries.to_pylist()):
             ids, m = _matrix(row)
             ask += [(row["uid"], int(p), int(ids[p]), m[p]) for p in np.flatnonzero(np.frombuffer(row["asked"], bool))]
-        own = tile.to_pylist()
+        own = [{k[2:]: v for k, v in r.items()} for r in tile.to_pylist()]
         for i in range(0, len(ask) if own else 0, tile_queries):
             part = ask[i : i + tile_queries]
             for (uid, place, name, _), (ids, scores) in zip(part, search(part, own, k), strict=True):
