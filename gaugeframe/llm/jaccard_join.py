@@ -275,7 +275,7 @@ def runs_for(recall: float, threshold: float, depth: int) -> int:
     return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - survive))))
 
 
-def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, depth: int = 2, small: int = 1024, block: int = 1024, batch_rows: int = 100_000, broadcast_rows: int = 1_000_000, with_digest: bool = False) -> DataFrame:
+def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, depth: int = 2, small: int = 4096, block: int = 1024, batch_rows: int = 100_000, broadcast_rows: int = 1_000_000, with_digest: bool = False) -> DataFrame:
     """One row per document: key, class_id, n_links, and keep (the first document of its class).
 
     ``class_id`` is the smallest key among the documents that links connect. ``with_digest`` adds
