@@ -28,8 +28,9 @@ def analysis_roots(rows: DataFrame) -> DataFrame:
 
 
 def cells(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """One equally weighted mean per unit and label."""
-    return analysis_roots(rows).groupBy(*keys, "unit_id", "label").agg(F.avg("score").alias("score"))
+    """One equally weighted mean per unit and label; to nine decimals, so that ties do not depend on
+    the order of summation."""
+    return analysis_roots(rows).groupBy(*keys, "unit_id", "label").agg(F.round(F.avg("score"), 9).alias("score"))
 
 
 def orientation(train: DataFrame, keys: list[str]) -> DataFrame:

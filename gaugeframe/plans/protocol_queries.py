@@ -21,7 +21,7 @@ FIT = (
     + ","
     + RADII
     + """,
-cells as (select t.unit_id, t.label, s.split, avg(t.score) as score from tree t join split s on s.unit_id = t.unit_id
+cells as (select t.unit_id, t.label, s.split, round(avg(t.score), 9) as score from tree t join split s on s.unit_id = t.unit_id
   where t.kind <> 'variant' and (t.kind <> 'counter' or t.eligible) group by all),
 g as (select score as s, sum(label)::double as p, sum(1 - label)::double as n from cells where split = 'train' group by all),
 c as (select *, coalesce(sum(n) over (order by s rows between unbounded preceding and 1 preceding), 0) as below from g),
@@ -202,7 +202,7 @@ def permutation_mc(spark, d):
 # sweeps ---------------------------------------------------------------------------------------
 
 SWEEP = "with " + views.LONG + "," + views.SPLIT.format(rows="flat") + """,
-cl as (select candidate, unit_id, label, avg(l.score) as score from long l join split s using (unit_id) where split = 'train' group by all),
+cl as (select candidate, unit_id, label, round(avg(l.score), 9) as score from long l join split s using (unit_id) where split = 'train' group by all),
 g as (select candidate, score as s, sum(label)::double as p, sum(1 - label)::double as n from cl group by all),
 c as (select *, coalesce(sum(n) over (partition by candidate order by s rows between unbounded preceding and 1 preceding), 0) as below from g),
 a as (select candidate, sum(p * (below + n / 2)) / (sum(p) * sum(n)) as auroc from c group by candidate),
