@@ -6,6 +6,7 @@ ever crosses from one text into the next.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ def view(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def slices(batch: pa.RecordBatch | pa.Table, name: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch | pa.Table, name: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``most`` bytes of text each (one row at least)."""
     for part in batch.to_batches() if isinstance(batch, pa.Table) else [batch]:
         sizes = pc.fill_null(pc.binary_length(part.column(part.schema.get_field_index(name))), 0).to_numpy(zero_copy_only=False)
@@ -52,6 +53,14 @@ def slices(batch: pa.RecordBatch | pa.Table, name: str, most: int = 4 << 20) ->
             start = stop
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: a worker that serves many tasks stays small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def lower(raw: np.ndarray) -> np.ndarray:
     """ASCII A-Z in lower case; all other bytes as they are."""
     return _LOWER[raw]

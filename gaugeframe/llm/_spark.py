@@ -116,7 +116,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return parents.unionByName(roots)
 
 
-def map_text(df: DataFrame, text: str, keep: list[str], result: str, kernel, most: int = 4 << 20) -> DataFrame:
+def map_text(df: DataFrame, text: str, keep: list[str], result: str, kernel, most: int = 1 << 20) -> DataFrame:
     """Columns ``keep`` and those of ``result`` (a DDL schema), which kernel(text array) makes row by row.
 
     The kernel gets parts of at most ``most`` bytes (a longer text comes alone), so a task's memory
@@ -134,6 +134,7 @@ def map_text(df: DataFrame, text: str, keep: list[str], result: str, kernel, mos
 
         from gaugeframe.llm import _bytes
 
+        _bytes.tidy()
         types = None
         for batch in batches:
             if types is None:
@@ -144,6 +145,7 @@ def map_text(df: DataFrame, text: str, keep: list[str], result: str, kernel, mos
                 made_columns = kernel(part.column(part.num_columns - 1))
                 cast = [x if isinstance(x, pa.Array) and x.type == t else pa.array(x, t) if not isinstance(x, pa.Array) else x.cast(t) for x, t in zip(made_columns, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *cast], names=schema.names)
+        _bytes.tidy()
 
     out = source.mapInArrow(run, schema)
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *made.names)

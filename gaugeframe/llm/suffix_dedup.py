@@ -78,7 +78,7 @@ def windows(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dic
 def _window_rows(length: int, gram: int, kind: str):
     def run(batches):
         for batch in batches:
-            for part in _bytes.slices(batch, "_text"):
+            for part in _bytes.slices(batch, "_text", 4 << 20):
                 raw, offsets = _bytes.view(part.column(2))
                 w = windows(raw, offsets, length, gram)
                 rows = pa.array(w["doc"])
@@ -92,7 +92,7 @@ def _cut_rows(length: int):
 
     def run(batches):
         for batch in batches:
-            for part in _bytes.slices(batch, "_text"):
+            for part in _bytes.slices(batch, "_text", 4 << 20):
                 raw, offsets = _bytes.view(part.column(part.schema.get_field_index("_text")))
                 data = raw.tobytes()
                 rows = {x: [] for x in ("i", "mh", "m", "a", "b", "c", "d", "bytes")}
@@ -262,7 +262,7 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: i
     def finish(batches):
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
         for batch in batches:
-            for part in _bytes.slices(batch, "_text"):
+            for part in _bytes.slices(batch, "_text", 4 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, t) for x, t in zip(kernel(part.column(2), part.column(1)), types, strict=True)]], names=["_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     out = joined.mapInArrow(finish, f"_key {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary")
