@@ -245,7 +245,7 @@ def _compare(threshold: float):
             bits[i] = np.packbits(row)
         words = bits.view(U64)
         links = np.zeros(len(ids), np.int64)
-        across = side.any() and not side.all()  # two different blocks: only pairs between them are new
+        across = part.column("p")[0] != part.column("q")[0]  # two different blocks: only pairs between them are new
 
         def near(i: int) -> np.ndarray:
             both = np.bitwise_count(words & words[i]).sum(1, dtype=np.int64)
@@ -275,7 +275,7 @@ def runs_for(recall: float, threshold: float, depth: int) -> int:
     return max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - survive))))
 
 
-def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, depth: int = 2, small: int = 4096, block: int = 1024, batch_rows: int = 100_000, broadcast_rows: int = 1_000_000, with_digest: bool = False) -> DataFrame:
+def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, threshold: float = 0.8, recall: float = 0.9999, depth: int = 2, small: int = 4096, block: int = 512, block_tokens: int = 1 << 20, batch_rows: int = 100_000, broadcast_rows: int = 1_000_000, with_digest: bool = False) -> DataFrame:
     """One row per document: key, class_id, n_links, and keep (the first document of its class).
 
     ``class_id`` is the smallest key among the documents that links connect. ``with_digest`` adds
@@ -306,13 +306,15 @@ def join(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
         deeper = map_text(again, "_text", ["cid"], "sig bigint, size int, sketch binary, paths array<bigint>", _Kernel(width, depth, runs_for(recall, threshold, depth), threshold))
         pairs = stored(deeper.select("cid", F.explode("paths").alias("path")).distinct(), "paths")
     groups = components(edges).withColumnsRenamed({"node": "cid", "root": "comp"})
-    sized = groups.join(groups.groupBy("comp").agg(F.count("*").alias("g")), "comp")
-    member = stored(sized.join(classes.select("cid", "n", F.col("rep._key").alias("_k"), F.col("rep._digest").alias("_d")), "cid"), "members")
-    texts = _texts_of(rows, member.select("cid", "comp", "g", "n", "_k", "_d"), broadcast_rows)
-    sets = map_text(texts, "_text", ["cid", "comp", "g", "n"], "tokens binary", _Sets(width))  # repeated rows repeat a set; _compare drops them
-    # a component of up to two blocks is one task's group; a larger one is compared block by block
-    blocks = F.when(F.col("g") <= block * 2, F.lit(1)).otherwise(F.ceil(F.col("g") / block)).cast("int")
-    sets = sets.withColumn("nb", blocks).withColumn("i", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
+    sized = stored(groups.join(classes.select("cid", "n", "size", F.col("rep._key").alias("_k"), F.col("rep._digest").alias("_d")), "cid"), "sized")
+    # a component of up to two blocks (by sets and by tokens) is one task's group; a larger one is
+    # compared block by block, so that long texts do not fill a task either
+    parts = F.greatest(F.count("*") / block, F.sum(F.col("size").cast("bigint")) / block_tokens)
+    blocks = F.when(parts <= 2, F.lit(1)).otherwise(F.least(F.ceil(parts), F.count("*"))).cast("int")
+    member = stored(sized.join(sized.groupBy("comp").agg(blocks.alias("nb")), "comp"), "members")
+    texts = _texts_of(rows, member.select("cid", "comp", "nb", "n", "_k", "_d"), broadcast_rows)
+    sets = map_text(texts, "_text", ["cid", "comp", "nb", "n"], "tokens binary", _Sets(width))  # repeated rows repeat a set; _compare drops them
+    sets = sets.withColumn("i", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     spread = sets.select("cid", "comp", "n", "tokens", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
     spread = spread.select("cid", "comp", "n", "tokens", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), (F.col("i") > F.col("j")).alias("side"))
     verdict = stored(spread.groupBy("comp", "p", "q").applyInArrow(_compare(threshold), "a bigint, b bigint, links bigint"), "verdicts")

@@ -73,7 +73,7 @@ def test_jaccard_join_loses_no_link(spark):
                     queue.append(j)
         return min(seen)
 
-    for options in ({}, {"small": 4, "block": 4}):
+    for options in ({}, {"small": 4, "block": 4}, {"block_tokens": 20}):
         got = {r.doc_id: r for r in jaccard_join.join(frame(spark, texts), **options).collect()}
         assert len(got) == len(texts)
         assert {i: (r.class_id, r.n_links, r.keep) for i, r in got.items()} == {i: (smallest(i), len(links[i]), smallest(i) == i) for i in links}
