@@ -31,6 +31,8 @@ from gaugeframe.llm._spark import components, lookup, map_text, stored, table, t
 U64 = np.uint64
 POOL = 8  # tokens of a run's pool for each one that a step selects
 SKETCH = 512
+ROUNDS = 8  # of bins; the same for all sizes, or sketches of different sizes would not compare
+SALTS = _bytes.mix(np.arange(1, SKETCH + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
 
 def shingles(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,31 +97,28 @@ def paths(values: np.ndarray, at: np.ndarray, depth: int, runs: int, threshold:
 
 
 def sketches(values: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """One bit of each of 512 minwise hashes, per text; hashes come from one-permutation bins."""
+    """One bit of each of 512 minwise hashes, per text, by one scheme for all sizes: a bin takes its
+    least value in the first of ``ROUNDS`` rounds that has one, or else an independent minwise hash.
+    Two sets then agree in a bin's value with a probability of their similarity, whatever their sizes."""
     out = []
     h = _bytes.mix(values ^ U64(0xA54FF53A5F1D36F1))
+    empty = ~U64(0)
     for a, b in zip(at[:-1], at[1:], strict=True):
         own = h[a:b]
         bits = np.zeros(SKETCH, np.uint8)
         if len(own):
-            m = len(own)
-            if m * 8 < SKETCH:  # few tokens: independent hashes for each bit
-                every = _bytes.mix(own[:, None] ^ _bytes.mix(np.arange(SKETCH, dtype=U64)[None, :]))
-                bits = (every.min(0) >> U64(3)).astype(np.uint8) & 1
-            else:
-                rows = []
-                for k in range(-(-SKETCH * 2 // m) + 3):  # rounds of bins until each has a value in some round
-                    g = _bytes.mix(own ^ U64(k + 1) * U64(0xC2B2AE3D27D4EB4F)) if k else own
-                    low = np.full(SKETCH, ~U64(0))
-                    np.minimum.at(low, (g >> U64(55)).astype(np.int64), g & U64((1 << 55) - 1))
-                    rows.append(low)
-                low = rows[0]
-                for nxt in rows[1:]:
-                    low = np.where(low == ~U64(0), nxt, low)
-                left = np.flatnonzero(low == ~U64(0))
-                for i in left:
-                    low[i] = _bytes.mix(own ^ _seed(7, int(i))).min()
-                bits = (_bytes.mix(low) & U64(1)).astype(np.uint8)
+            low = np.full(SKETCH, empty)
+            for k in range(ROUNDS):
+                g = _bytes.mix(own ^ np.array([k + 1], U64) * U64(0xC2B2AE3D27D4EB4F)) if k else own
+                nxt = np.full(SKETCH, empty)
+                np.minimum.at(nxt, (g >> U64(55)).astype(np.int64), g & U64((1 << 55) - 1))
+                low = np.where(low == empty, nxt, low)
+                if not (low == empty).any():
+                    break  # later rounds would change nothing
+            left = np.flatnonzero(low == empty)
+            if len(left):
+                low[left] = _bytes.mix(own[None, :] ^ SALTS[left, None]).min(1)
+            bits = (_bytes.mix(low) & U64(1)).astype(np.uint8)
         out.append(np.packbits(bits).tobytes())
     return out
 

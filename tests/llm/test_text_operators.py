@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,6 +85,29 @@ def test_jaccard_join_without_words(spark):
     assert sorted((r.doc_id, r.class_id, r.n_links) for r in rows) == [(0, 0, 0), (1, 1, 0), (2, 2, 0)]
 
 
+def test_jaccard_join_sketches_compare_across_sizes(spark):
+    rng = random.Random(11)
+    texts = []
+    for more, fewer in ((68, 67), (72, 59)):  # 64 and 63 shingles, 68 and 55
+        for _ in range(10):
+            long = words(rng, more).split()
+            texts += [" ".join(long), " ".join(long[:fewer])]
+    got = {r.doc_id: r for r in jaccard_join.join(frame(spark, texts)).collect()}
+    assert [(got[i].class_id, got[i].n_links) for i in range(40)] == [(i - i % 2, 1) for i in range(40)]
+
+
+def test_sketches_estimate_similarity_at_every_size():
+    rng = np.random.default_rng(7)
+    for n in (1, 5, 20, 55, 63, 64, 80, 200, 900):
+        agree = []
+        for _ in range(20):
+            both = rng.integers(0, 1 << 63, n + -(-n // 5), dtype=np.uint64)
+            a, b = jaccard_join.sketches(np.concatenate([both, both[:n]]), np.array([0, len(both), len(both) + n]))
+            agree.append(512 - sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)))
+        want = 256 * (1 + n / len(both))
+        assert abs(sum(agree) / 20 - want) < 12 and (n < 5 or min(agree) >= 430)
+
+
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(2)
     for window in (1, 3, 5):
