@@ -64,9 +64,9 @@ def probe(spark, d):
 @query()
 def spectral_scores(spark, d):
     """A ring graph per embedding, with the vector as signal."""
-    e = views.read(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 16), lambda x: F.array(x.cast("double"))).alias("x"))
-    near = lambda i, j: F.when((F.abs(i - j) == 1) | (F.abs(i - j) == 15), 1.0).otherwise(0.0)
-    ring = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda j: near(i, j)))
+    e = views.read(spark, d, "embeddings").select("vec_id", "embedding", F.transform("embedding", lambda x: F.array(x.cast("double"))).alias("x"))
+    near = lambda i, j: F.when((F.abs(i - j) == 1) | (F.abs(i - j) == F.size("embedding") - 1), 1.0).otherwise(0.0)
+    ring = F.transform("embedding", lambda _x, i: F.transform("embedding", lambda _y, j: near(i, j)))
     return spectral.spectral_scores(e.withColumn("g", ring), "vec_id", "g", "x")
 
 

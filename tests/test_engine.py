@@ -109,6 +109,16 @@ def test_queries_match_sql(spark, name):
     assert sorted([text(v) for v in r] for r in out.collect()) == sorted([text(r[i]) for i in at] for r in want.fetchall())
 
 
+def test_spectral_scores_take_the_whole_vector(spark):
+    got = {r.vec_id: r for r in catalog.queries()["spectral_scores"](spark, SF).collect()}
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        x = [float(v) for v in r.embedding]
+        assert got[r.vec_id].energy == pytest.approx(sum((x[i] - x[i - 1]) ** 2 for i in range(len(x))), abs=2e-6)
+        assert got[r.vec_id].fiedler == pytest.approx(2 - 2 * math.cos(2 * math.pi / len(x)), abs=2e-6)
+
+
 def test_entry_guard_without_llm():
     import __spark_entry__
 
