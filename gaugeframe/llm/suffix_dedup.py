@@ -187,8 +187,9 @@ def _bisect(hot: DataFrame, length: int, kind: str) -> DataFrame:
         # one of those that repeat as a whole goes on as a witness for windows that share a part with it
         witness = judged.filter("around is not null").groupBy("mh", "x", "lo", "hi", "outer").agg(F.min(F.struct("_key", "_digest", "a", "m")).alias("w")).select("w.*", "x")
         split = judged.filter("around is null").select("_key", "_digest", "a", "m", "x").unionByName(witness)
-        split = split.groupBy("_key", "_digest", "a", "m").agg(F.collect_set("x").alias("cells"))
-        todo = hot.join(split, ["_key", "_digest", "a", "m"])
+        split = split.groupBy("_key", "_digest", "a", "m").agg(F.collect_set("x").alias("cells")).withColumnsRenamed({x: f"_{x}" for x in ("_key", "_digest", "a", "m")})
+        same = F.col("_key").eqNullSafe(F.col("__key")) & (F.col("_digest") == F.col("__digest")) & (F.col("a") == F.col("_a")) & (F.col("m") == F.col("_m"))
+        todo = hot.join(split, same).drop("__key", "__digest", "_a", "_m")
     return out
 
 

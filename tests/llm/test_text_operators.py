@@ -161,6 +161,16 @@ def test_suffix_dedup_matches_brute_force(spark, hot):
         assert left == b"".join(data[a:b] for a, b in zip([0, *[s.end for s in got[i].spans]], [*[s.start for s in got[i].spans], len(data)], strict=True))
 
 
+def test_suffix_dedup_bisects_windows_of_null_ids(spark):
+    rng = random.Random(8)
+    shared = "".join(rng.choice("abcdef ") for _ in range(120))
+    texts = ["".join(rng.choice("uvwxyz") for _ in range(rng.randint(5, 60))) + shared[rng.randint(0, 30) :] + "".join(rng.choice("uvwxyz") for _ in range(rng.randint(5, 60))) for _ in range(12)]
+    df = frame(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") != 4, F.col("doc_id")))
+    got = {r.doc_id: r for r in suffix_dedup.dedup(df, length=40, gram=8, hot=2, shard_bytes=2000).collect()}
+    want = suffix_dedup.brute_force(texts, 40)
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in (got[None if i == 4 else i] for i in range(12))] == want
+
+
 def test_language_id(spark):
     rng = random.Random(1)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40))
