@@ -13,8 +13,8 @@ weighs K / (c(h) + K).
 No automaton holds the corpus. Documents are dealt by a hash of their content into blocks of bounded
 size; every block sends the hashes of its distinct n-grams (sorted, as differences, a few bytes
 each) with their training counts to hash ranges, each range sums them and answers every block with
-the totals in the order asked. A block then holds the part of the automaton that its own texts can
-reach, which is all that their traversal needs. Ranges and blocks grow in number with the input,
+the totals in the order asked. A block then computes its positions' weights from
+these counts, without states or failure arcs; ``BackoffAutomaton`` is the definition tests compare with. Ranges and blocks grow in number with the input,
 not in size.
 
 Defined cases: null and empty texts are the end token alone; a null id belongs to the training side
