@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,13 +22,19 @@ def text_digest(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a folder of our own in local mode
+    (tests); a cluster must name one that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         have = spark.sparkContext._jsc.sc().getCheckpointDir()
         if have.isDefined():
             return have.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="gaugeframe-")
         spark.sparkContext.setCheckpointDir(found)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -38,23 +42,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, what: str = "step") -> DataFrame:
-    """Written to the shared folder and read again: cuts the lineage and outlives any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Written to the shared folder and read again: cuts the lineage and outlives any executor.
 
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps that nothing refers to any more.
-
-    References go in two hops (Python's, then the JVM's), each some time after its collection.
+    The write is one execution whose shuffle files nothing else needs, so they go at its end.
+    ``discard`` removes the table once nothing reads it any more.
     """
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.4)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.4)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Removes stored tables that no later step reads."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path is not None:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def lookup(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total: int, share: int = 1000, how: str = "left") -> DataFrame:
@@ -62,8 +74,8 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total
 
     ``small`` has one row per key; ``weight`` counts the key's rows in ``big``. Keys with at least
     total/share rows number at most ``share`` (their weights sum to no more than total), so those go
-    by broadcast; rows of all other keys meet in a shuffle where none is frequent. Null keys are
-    compared as equal if ``small`` holds them.
+    by broadcast; rows of all other keys meet in a shuffle where none is frequent. Keys are digests
+    and the like: a null key meets nothing.
     """
     least = max(1, -(-total // share))
     heavy = small.filter(F.col(weight) >= least).drop(weight)
@@ -75,40 +87,38 @@ def lookup(big: DataFrame, small: DataFrame, keys: list[str], weight: str, total
     return hot.unionByName(rest.select(*big.columns, *values))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): one row (node, root) per node, root its smallest node.
 
     Each node keeps a parent no larger than itself. A round hooks roots of both ends to the smaller
     and then halves the depth of all chains; the edges whose ends have met are dropped. Each round's
-    table is written to the shared folder; only a count reaches the driver.
+    tables are written to the shared folder and those before go; nothing of them reaches the driver.
     """
     def shrink(live: DataFrame) -> DataFrame:
         return stored(live.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
 
     live = shrink(edges.select("a", "b"))
     parents = None
-    for _ in range(rounds):
-        if live.isEmpty():
-            break
-        hook = live.groupBy("a").agg(F.min("b").alias("to"))  # the parent is smaller: no cycles
-        hook = stored(hook, "hooks")
+    while not live.isEmpty():  # every round hooks each root that has a smaller neighbour
+        hook = stored(live.groupBy("a").agg(F.min("b").alias("to"), F.lit(True).alias("moved")), "hooks")  # the parent is smaller: no cycles
         while True:  # pointer jumping until every chain is one step long
             up = hook.select(F.col("a").alias("to"), F.col("to").alias("_up"))
-            jumped = stored(hook.join(up, "to", "left").select("a", F.coalesce("_up", "to").alias("to"), F.col("_up").isNotNull().alias("moved")), "hooks")
-            hook = jumped.select("a", "to")
-            if jumped.filter("moved").isEmpty():
+            jumped = stored(hook.select("a", "to").join(up, "to", "left").select("a", F.coalesce("_up", "to").alias("to"), F.col("_up").isNotNull().alias("moved")), "hooks")
+            discard(hook)
+            hook = jumped
+            if hook.filter("moved").isEmpty():
                 break
-        if parents is None:
-            parents = hook.select(F.col("a").alias("node"), F.col("to").alias("root"))
-        else:
+        own = hook.select(F.col("a").alias("node"), F.col("to").alias("root"))
+        if parents is not None:
             moved = parents.join(hook.select(F.col("a").alias("root"), F.col("to").alias("_to")), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
-            parents = moved.unionByName(hook.select(F.col("a").alias("node"), F.col("to").alias("root")))  # a hooked node was a root: not in parents yet
-        parents = stored(parents, "parents")
+            own = moved.unionByName(own)  # a hooked node was a root: not in parents yet
+        before, parents = parents, stored(own, "parents")
         ends = hook.select(F.col("a").alias("_n"), F.col("to").alias("_t"))
-        live = live.join(ends.withColumnRenamed("_n", "a").withColumnRenamed("_t", "ra"), "a", "left").join(ends.withColumnRenamed("_n", "b").withColumnRenamed("_t", "rb"), "b", "left")
-        live = shrink(live.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    else:
-        raise RuntimeError("components did not settle")
+        joined = live.join(ends.withColumnsRenamed({"_n": "a", "_t": "ra"}), "a", "left").join(ends.withColumnsRenamed({"_n": "b", "_t": "rb"}), "b", "left")
+        after = shrink(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+        discard(before, live, hook)
+        live = after
+    discard(live)
     if parents is None:
         kind = edges.schema["a"].dataType.simpleString()
         return edges.sparkSession.createDataFrame([], f"node {kind}, root {kind}")

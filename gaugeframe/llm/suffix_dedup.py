@@ -5,7 +5,8 @@ equal strings belong to equal pieces at equal offsets. So each text falls into w
 string starts with one owner. Windows whose owner stands nowhere else hold no repeat, windows equal
 as a whole repeat as a whole; both are settled by counting digests. The windows left over go, with
 their bytes, to shards by owner, and each shard's suffixes are sorted with common-prefix values by
-external induced sorting; a start repeats if a neighbour shares ``length`` bytes with it.
+external induced sorting, whose queues of (suffix, common prefix) hold ``sort_memory`` bytes and
+keep the rest on disk; a start repeats if a neighbour shares ``length`` bytes with it.
 
 An owner of more than ``hot`` different windows (a passage in very many contexts) would fill a shard
 of its own. Its windows are bisected instead, exactly: cells of starts at fixed offsets from the
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import _bytes
-from gaugeframe.llm._spark import lookup, release, stored, table, text_digest
-from gaugeframe.llm.induced_sort import suffix_order
+from gaugeframe.llm._spark import discard, lookup, stored, table, text_digest
+from gaugeframe.llm.induced_sort import suffix_blocks
 
 U64 = np.uint64
 LOW = U64((1 << 24) - 1)
-PIECE = 1 << 23
+PIECE = 1 << 20
 
 
 def windows(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dict[str, np.ndarray]:
@@ -78,7 +79,7 @@ def windows(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> dic
 def _window_rows(length: int, gram: int, kind: str):
     def run(batches):
         for batch in batches:
-            for part in _bytes.slices(batch, "_text", 4 << 20):
+            for part in _bytes.slices(batch, "_text", PIECE):
                 raw, offsets = _bytes.view(part.column(2))
                 w = windows(raw, offsets, length, gram)
                 rows = pa.array(w["doc"])
@@ -92,7 +93,7 @@ def _cut_rows(length: int):
 
     def run(batches):
         for batch in batches:
-            for part in _bytes.slices(batch, "_text", 4 << 20):
+            for part in _bytes.slices(batch, "_text", PIECE):
                 raw, offsets = _bytes.view(part.column(part.schema.get_field_index("_text")))
                 data = raw.tobytes()
                 rows = {x: [] for x in ("i", "mh", "m", "a", "b", "c", "d", "bytes")}
@@ -112,59 +113,76 @@ def _sorted(length: int, memory: int):
     """Starts of a shard's windows that another suffix of the shard shares ``length`` bytes with."""
 
     def run(shard: pa.Table) -> pa.Table:
-        texts = shard.column("bytes").to_pylist()
-        sizes = np.array([len(x) for x in texts])
+        raw, offsets = _bytes.view(shard.column("bytes"))
+        sizes = np.diff(offsets)
         begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-        t = np.ones(begin[-1], np.int64)  # 1 stands between windows
-        flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 2
+        t = np.ones(begin[-1], np.int32)  # 1 stands between windows
         inside = np.ones(len(t), bool)
         inside[begin[1:] - 1] = False
-        t[inside] = flat
-        order, common = suffix_order(t, length, memory)
-        close = common >= length
-        near = close.copy()
-        near[:-1] |= close[1:]
+        t[inside] = raw.astype(np.int32) + 2
         repeats = np.zeros(len(t), bool)
-        repeats[order[near]] = True
+        for order, common in suffix_blocks(t, length, memory):  # symbol by symbol
+            close = common >= length
+            repeats[order[close]] = True
+            repeats[order[:-1][close[1:]]] = True
         starts = sizes - length + 1
-        keep = {"i": [], "a": [], "b": []}
+        keep: dict[str, list] = {"i": [], "a": [], "b": []}
         single = np.array(shard.column("c")) == 1
         first = np.array(shard.column("a"))
         for i in np.flatnonzero(single):
             own = repeats[begin[i] : begin[i] + starts[i]]
             edge = np.diff(np.concatenate([[0], own.view(np.int8), [0]]))
             lo, hi = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
-            keep["i"] += [int(i)] * len(lo)
-            keep["a"] += (lo + first[i]).tolist()
-            keep["b"] += (hi + first[i]).tolist()
-        at = pa.array(keep["i"], pa.int64())
-        return pa.table([shard.column("_key").take(at), shard.column("_digest").take(at), pa.array(keep["a"], pa.int64()), pa.array(keep["b"], pa.int64())], names=["_key", "_digest", "a", "b"])
+            keep["i"].append(np.full(len(lo), i))
+            keep["a"].append(lo + first[i])
+            keep["b"].append(hi + first[i])
+        done = {x: pa.array(np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64)) for x, v in keep.items()}
+        return pa.table([shard.column("_key").take(done["i"]), shard.column("_digest").take(done["i"]), done["a"], done["b"]], names=["_key", "_digest", "a", "b"])
 
     return run
 
 
-def _cells(length: int, size: int, last: int):
+def _cells(length: int, size: int, last: int, most: int = 1 << 16):
     """Per window: its starts in the cells ``last`` asks to split, cut into cells of ``size``; for
     each the digest of the bytes common to its strings (of the whole cell, also if the window has
-    only part of it) and of the bytes around those it has."""
+    only part of it) and of the bytes around those it has. At most about ``most`` cells are held."""
+    made = ("m", "a", "x", "lo", "hi", "inner", "outer")
 
     def run(batches):
         for batch in batches:
-            names = batch.schema.names
-            columns = {x: batch.column(names.index(x)).to_pylist() for x in ("m", "a", "b", "bytes", "cells")}
-            rows = {x: [] for x in ("i", "x", "lo", "hi", "inner", "outer")}
-            for i, (m, a, b, blob, cells) in enumerate(zip(*columns.values(), strict=True)):
-                raw = np.frombuffer(blob, np.uint8)
-                found = [(x, max(x, a - m), min(x + size - 1, b - m)) for cell in (cells if cells is not None else range((a - m) // last * last, b - m + 1, last)) for x in range(cell, cell + last, size)]
-                found = [(x, lo, hi) for x, lo, hi in found if lo <= hi]
-                sums = _bytes.prefix(raw)
-                x, lo, hi = (np.array(v, np.int64) for v in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-                shift = m - a  # offsets from the owner to places in the blob
-                rows["i"] += [i] * len(x)
-                for k, v in zip(("x", "lo", "hi", "inner", "outer"), (x, lo, hi, _bytes.span_hash(sums, x + size - 1 + shift, x + length + shift).view(np.int64), _bytes.span_hash(sums, lo + shift, hi + length + shift).view(np.int64)), strict=True):
-                    rows[k] += v.tolist()
-            at = pa.array(rows.pop("i"), pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(names.index(x)).take(at) for x in ("_key", "_digest", "mh", "m", "a")], *[pa.array(v, pa.int64()) for v in rows.values()]], names=["_key", "_digest", "mh", "m", "a", *rows])
+            col = {x: batch.column(batch.schema.get_field_index(x)) for x in ("_key", "_digest", "mh", "m", "a", "b", "bytes", "cells")}
+            m, a, b = (np.array(col[x]) for x in "mab")
+            raw, offsets = _bytes.view(col["bytes"])
+            asked, at = col["cells"].flatten().to_numpy(zero_copy_only=False), col["cells"].value_lengths()
+            ends = np.cumsum(at.fill_null(0).to_numpy(zero_copy_only=False))
+            every = col["cells"].is_null().to_numpy(zero_copy_only=False)
+            held: list[list[np.ndarray]] = []
+            count = 0
+
+            def flush():
+                rows = pa.array(np.concatenate([h[0] for h in held]))
+                values = [pa.array(np.concatenate(v)) for v in list(zip(*held, strict=True))[1:]]
+                return pa.RecordBatch.from_arrays([*[col[x].take(rows) for x in ("_key", "_digest", "mh")], *values], names=["_key", "_digest", "mh", *made])
+
+            for i in range(len(m)):
+                low, high = a[i] - m[i], b[i] - m[i]
+                base = np.arange(low // last * last, high + 1, last) if every[i] else asked[(ends[i - 1] if i else 0) : ends[i]]
+                x = (base[:, None] + np.arange(0, last, size)).ravel()
+                lo, hi = np.maximum(x, low), np.minimum(x + size - 1, high)
+                fits = lo <= hi
+                if not fits.any():
+                    continue
+                x, lo, hi = x[fits], lo[fits], hi[fits]
+                sums = _bytes.prefix(raw[offsets[i] : offsets[i + 1]])
+                inner = _bytes.span_hash(sums, x + size - 1 - low, x + length - low).view(np.int64)
+                outer = _bytes.span_hash(sums, lo - low, hi + length - low).view(np.int64)
+                held.append([np.full(len(x), i), np.full(len(x), m[i]), np.full(len(x), a[i]), x, lo, hi, inner, outer])
+                count += len(x)
+                if count >= most:
+                    yield flush()
+                    held, count = [], 0
+            if held:
+                yield flush()
 
     return run
 
@@ -222,11 +240,10 @@ class _Kernel:
         return [np.diff(offsets), n_removed, n_spans, digests, spans, kept]
 
 
-def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 400, gram: int = 64, hot: int = 512, shard_bytes: int = 1 << 20, sort_memory: int = 64 << 20, contents: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = 400, gram: int = 64, hot: int = 512, shard_bytes: int = 1 << 20, sort_memory: int = 4 << 20, contents: bool = True) -> DataFrame:
     """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256, spans (byte offsets of
     removed runs) and kept (the remaining bytes; null unless ``contents``)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("_key"), text_digest(F.col(text)).alias("_digest"), F.col(text).cast("string").alias("_text"))
+    rows = docs.select(F.col(f"`{key}`").alias("_key"), text_digest(F.col(f"`{text}`")).alias("_digest"), F.col(f"`{text}`").cast("string").alias("_text"))
     kind = docs.schema[key].dataType.simpleString()
     run, schema = _window_rows(length, gram, kind)
     every = stored(rows.mapInArrow(run, schema), "windows")
@@ -244,8 +261,6 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: i
     pool = pool.select("mh", "c", "d", "rep.*").groupBy("_key", "_digest").agg(F.collect_list(F.struct("mh", "m", "a", "b", "c", "d")).alias("w"))
     fetched = rows.join(pool.withColumnsRenamed({"_key": "_k", "_digest": "_d"}), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d"))).select("_key", "_digest", "_text", "w")
     cut = stored(fetched.mapInArrow(_cut_rows(length), f"_key {kind}, _digest bigint, mh bigint, m bigint, a bigint, b bigint, c bigint, d bigint, bytes binary").dropDuplicates(["_key", "_digest", "a", "m"]), "cut")
-    del fetched, pool
-    release(spark)
     calm = cut.filter(F.col("d") <= hot)
     size = calm.select(F.sum(F.octet_length("bytes")).alias("n")).first()["n"] or 0
     shards = max(1, -(-size // shard_bytes))
@@ -255,15 +270,14 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: i
     if not busy.isEmpty():
         ranges = ranges.unionByName(_bisect(busy, length, kind))
     ranges = stored(ranges.groupBy("_key", "_digest").agg(F.collect_list(F.struct("a", "b")).alias("r")), "ranges")
-    del every, owners, shared, mixed, kinds, found
-    release(spark)
+    discard(every, shared, kinds, cut)
     joined = rows.join(ranges.withColumnsRenamed({"_key": "_k", "_digest": "_d"}), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d")), "left").select("_key", "r", "_text")
     kernel = _Kernel(length, contents)
 
     def finish(batches):
         types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary()]
         for batch in batches:
-            for part in _bytes.slices(batch, "_text", 4 << 20):
+            for part in _bytes.slices(batch, "_text", PIECE):
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, t) for x, t in zip(kernel(part.column(2), part.column(1)), types, strict=True)]], names=["_key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     out = joined.mapInArrow(finish, f"_key {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary")

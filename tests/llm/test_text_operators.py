@@ -37,7 +37,7 @@ def test_lm_matches_the_automaton_and_base(spark):
                     counts[tuple(t[k : k + n])] = counts.get(tuple(t[k : k + n]), 0) + 1
     one = [v for k, v in counts.items() if len(k) == 1]
     total, ones, twos = sum(one), one.count(1), one.count(2)
-    auto = lm_score.BackoffAutomaton(counts, total, ones / (ones + 2 * twos) if ones and twos else 0.5, 200.0)
+    auto = lm_score.BackoffAutomaton(counts, total, ones / (ones + 2 * twos) if ones and twos else 0.5, lm_score.STRENGTH)
     for i, t in enumerate(toks):
         base = sum(math.log10((counts.get((w,), 0) + 1) / (total + len(one) + 1)) for w in t)
         assert got[i].n_tokens == len(t) and got[i].train_tokens == total
@@ -45,6 +45,24 @@ def test_lm_matches_the_automaton_and_base(spark):
         assert got[i].base_score == pytest.approx(base) and got[i].score == pytest.approx(auto.score(t))
 
 
+def test_lm_automaton_reads_long_texts_in_stretches(spark):
+    rng = random.Random(9)
+    texts = [words(rng, 900, "ab"), words(rng, 700, "ab"), "a"]
+    df = frame(spark, texts)
+    for order in (1, 2, 3, 4):
+        got = {r.doc_id: r.score for r in lm_score.score(df, F.col("doc_id") < 2, order=order, block_bytes=3000).collect()}
+        toks = [re.findall(r"[^\x20\x09-\x0D]+", t) + [None] for t in texts]
+        counts = {}
+        for t in toks[:2]:
+            for n in range(1, order + 1):
+                for k in range(len(t) - n + 1):
+                    counts[tuple(t[k : k + n])] = counts.get(tuple(t[k : k + n]), 0) + 1
+        one = [v for k, v in counts.items() if len(k) == 1]
+        ones, twos = one.count(1), one.count(2)
+        auto = lm_score.BackoffAutomaton(counts, sum(one), ones / (ones + 2 * twos) if ones and twos else 0.5, (200.0, 5.0, 5.0))
+        assert [got[i] for i in range(3)] == pytest.approx([auto.score(t) for t in toks])
+
+
 def test_lm_without_training_text(spark):
     rows = lm_score.score(frame(spark, ["a b", None]), F.lit(False)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.score) for r in sorted(rows, key=lambda r: r.doc_id)] == [(3, 0, 0, 0.0), (1, 0, 0, 0.0)]
@@ -171,6 +189,20 @@ def test_suffix_dedup_bisects_windows_of_null_ids(spark):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in (got[None if i == 4 else i] for i in range(12))] == want
 
 
+@pytest.mark.parametrize("hot", [512, 2])
+def test_suffix_dedup_at_400_bytes_with_spills_null_ids_and_long_texts(spark, hot):
+    rng = random.Random(20)
+    shared = ["".join(rng.choice("abcdef é") for _ in range(n)) for n in (420, 900, 395)]
+    texts = [words(rng, rng.randint(0, 60)) + rng.choice(shared) + words(rng, rng.randint(0, 60)) for _ in range(25)]
+    texts += [words(rng, 1500) + shared[1], words(rng, 3000), shared[1] * 2, None, ""]
+    df = frame(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 4 != 1, F.col("doc_id"))).withColumn("_key", F.lit(1)).withColumn("_text", F.lit("x"))
+    got = suffix_dedup.dedup(df, hot=hot, sort_memory=1 << 12, shard_bytes=20_000).collect()
+    want = suffix_dedup.brute_force(texts, 400)
+    key = lambda i: (i is None, i or 0)
+    assert sorted([(key(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got]) == sorted([(key(None if i % 4 == 1 else i), *w) for i, w in enumerate(want)])
+    assert suffix_dedup.dedup(df.limit(0)).count() == 0
+
+
 def test_language_id(spark):
     rng = random.Random(1)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(40))
