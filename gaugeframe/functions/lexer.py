@@ -1,11 +1,16 @@
 """A lexer for proof sources with nested comments, and edits that act on code alone.
 
-Plain functions on strings; ``udf_*`` wrap them as Arrow-batched functions.
+Plain functions on strings; ``operators.generate`` and ``operators.identity`` run them over Arrow
+batches. What cannot be read (an open comment or string, no declaration, an anonymous example, no
+proof delimiter) raises ``LexError``; an edit that finds nothing to change gives None.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import random
+import re
 import unicodedata
 from dataclasses import dataclass
 
@@ -121,51 +126,177 @@ def rename(source: str, names_to: dict[str, str]) -> tuple[str, int]:
     return "".join([*out, source[at:]]), count
 
 
-def declaration(source: str) -> tuple[str, int, int] | None:
-    """(name, start, end) of the first theorem or lemma's name; None if there is none."""
+def declaration(source: str) -> tuple[str, int, int, int]:
+    """(name, start, end, start of the keyword) of the first theorem or lemma."""
     found = names(source)
     for (a, b), (c, d) in zip(found, found[1:], strict=False):
-        if source[a:b] in ("theorem", "lemma"):
-            return source[c:d], c, d
-    return None
+        word = source[a:b]
+        if word == "example":
+            raise LexError("anonymous example")
+        if word in ("theorem", "lemma"):
+            return source[c:d], c, d, a
+    raise LexError("no theorem or lemma")
 
 
 def header_end(source: str, start: int) -> int:
     """Where the statement ends: ``:=`` in code after start, or a line that begins with ``begin``."""
     for p in pieces(source):
-        if p.kind == "code":
-            text, low = source[p.start : p.end], max(0, start - p.start)
-            if (at := text.find(":=", low)) >= 0:
-                return p.start + at
+        if p.kind == "code" and p.end > start:
+            at = source.find(":=", max(start, p.start), p.end)
+            if at >= 0:
+                return at
     at = start
     while (at := source.find("\n", at)) >= 0:
         at += 1
-        if source[at:].lstrip(" \t").startswith("begin"):
+        line = source[at:].lstrip(" \t")
+        if line.startswith("begin") and not (line[5:6] and continues_name(line[5])):
             return at
-    return len(source)
+    raise LexError("no proof delimiter")
+
+
+def header(source: str) -> tuple[int, int]:
+    """(end of the declaration's name, end of its statement)."""
+    d = declaration(source)
+    return d[2], header_end(source, d[2])
+
+
+def code_matches(source: str, pattern: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+    """Spans of a pattern's matches that lie in one piece of code between start and end."""
+    end, found = len(source) if end is None else end, re.compile(pattern)
+    return [m.span() for p in pieces(source) if p.kind == "code" for m in found.finditer(source, max(p.start, start), max(max(p.start, start), min(p.end, end)))]
+
+
+def spliced(source: str, start: int, end: int, new: str) -> str:
+    return source[:start] + new + source[end:]
+
+
+def generator(seed: int, item: str, namespace: str) -> random.Random:
+    """A seeded generator from the first 16 bytes of a digest (fixed protocol values)."""
+    return random.Random(int.from_bytes(hashlib.sha256(f"{namespace}\0{seed}\0{item}".encode()).digest()[:16], "big"))
+
+
+def edit_id(item: str, name: str, seed: int, target: str) -> str:
+    """Content-addressed name of an edit's result."""
+    return f"{item}:{name}:s{seed}:{hashlib.sha256(target.encode()).hexdigest()[:16]}"
+
+
+def statement_identity(source: str) -> tuple[str, str]:
+    """(name, SHA-256 of the statement's tokens as a JSON list) of a source with one theorem or
+    lemma; namespaces, qualified or quoted names and further declarations are refused."""
+    if not source.strip():
+        raise LexError("empty source")
+    name, start, end, keyword = declaration(source)
+    found = [a for a, b in names(source) if source[a:b] in ("theorem", "lemma", "example")]
+    if found != [keyword]:
+        raise LexError("more than one declaration")
+    if any(source[a:b] == "namespace" for a, b in names(source[:keyword])):
+        raise LexError("namespace")
+    statement = tokens(source[end : header_end(source, end)])
+    if "«" in source[keyword:start] or (statement and statement[0] in (".", "»")):
+        raise LexError("qualified or quoted name")
+    if not statement:
+        raise LexError("empty statement")
+    return name, hashlib.sha256(json.dumps(statement, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
 
 
 def pick(n: int, seed: int, item: str, namespace: str) -> int:
+    """A choice among n by the first 8 bytes of a digest (fixed protocol values)."""
     return int.from_bytes(hashlib.sha256(f"{namespace}\0{seed}\0{item}".encode()).digest()[:8], "big") % n
 
 
-RELATIONS = {"≤": "≥", "≥": "≤", "=": "≠", "≠": "=", "<": ">", ">": "<"}
+#: What each symbol is exchanged for, and the characters that must not stand before or
+#: after it.
+RELATIONS = {"≤": "≥", "≥": "≤", "≠": "=", "=": "≠", "<": ">", ">": "<"}
 ARITHMETIC = {"+": "-", "-": "+", "*": "/", "/": "*"}
+AROUND_RELATIONS = (":<>=!", "=>")
+AROUND_ARITHMETIC = (":/+-*", "=/+-*")
+#: Words that are never taken for a binder's name, and those that bind anew in a proof.
+RESERVED = {"Type", "Prop", "Sort", "theorem", "lemma", "by", "begin", "end", "fun", "let", "in", "_"}
+BINDING = ("fun", "let", "have", "intro", "intros", "cases", "rcases")
+
+
+def _symbols(source: str, table: dict[str, str], low: int, high: int) -> list[tuple[int, int]]:
+    """Places of the table's symbols in code, not as part of a longer operator."""
+    before, after = AROUND_ARITHMETIC if table is ARITHMETIC else AROUND_RELATIONS
+    return [(i, i + 1) for p in pieces(source) if p.kind == "code" for i in range(max(p.start, low), min(p.end, high)) if source[i] in table and source[i - 1] not in before and (i + 1 >= len(source) or source[i + 1] not in after)]
+
+
+def _numbers(source: str, low: int, high: int) -> list[tuple[int, int]]:
+    """Spans of numbers in code that are no part of a name."""
+    spans = []
+    for p in pieces(source):
+        i, stop = max(p.start, low), min(p.end, high)
+        while p.kind == "code" and i < stop:
+            j = i
+            while j < stop and (source[j].isdigit() or (j > i and continues_name(source[j])) or (j == i and starts_name(source[j]))):
+                j += 1
+            if source[i:j].isdigit():
+                spans.append((i, j))
+            i = max(j, i + 1)
+    return spans
+
+
+def _neighbour(digits: str) -> str | None:
+    value = int(digits)
+    return next((str(value + x) for x in (1, -1, 2, -2) if value + x >= 0 and len(str(value + x)) == len(digits)), None)
 
 
 def _flip(source: str, item: str, seed: int, table: dict[str, str], namespace: str) -> str | None:
     """One symbol of the header exchanged; None if there is none."""
-    d = declaration(source)
-    if d is None:
-        return None
-    stop = header_end(source, d[2])
-    at = [i for p in pieces(source) if p.kind == "code" for i in range(max(p.start, d[2]), min(p.end, stop)) if source[i] in table and source[i + 1 : i + 2] not in ("=", ">") and source[i - 1] not in ":<>="]
+    at = _symbols(source, table, *header(source))
     if not at:
         return None
-    i = at[pick(len(at), seed, item, namespace)]
+    i = at[pick(len(at), seed, item, namespace)][0]
     return source[:i] + table[source[i]] + source[i + 1 :]
 
 
+def groups(source: str, opening: str = "({", low: int = 0, high: int | None = None) -> list[tuple[int, int, int]]:
+    """(after the bracket, colon, closing bracket) of innermost bracket groups in code that hold a
+    colon: typed binders."""
+    out, begin, colon = [], -1, -1
+    for p in pieces(source):
+        for i in range(max(p.start, low), min(p.end, len(source) if high is None else high)) if p.kind == "code" else ():
+            ch = source[i]
+            if ch in "({":
+                begin, colon = (i + 1 if ch in opening else -1), -1
+            elif ch == ":" and begin >= 0 and colon < 0:
+                colon = i
+            elif ch in ")}":
+                if begin >= 0 and colon >= 0:
+                    out.append((begin, colon, i))
+                begin = -1
+    return out
+
+
+def binders(source: str) -> list[tuple[int, int]]:
+    """Spans of the names that the header's typed binders introduce."""
+    found = groups(source, "({", *header(source))
+    return [(a, b) for a, b in names(source) if source[a:b] not in RESERVED and any(x <= a and b <= y for x, y, _ in found)]
+
+
+def rename_binder(source: str, item: str, seed: int) -> str | None:
+    """One typed header binder renamed wherever its name stands in code."""
+    found = binders(source)
+    if not found:
+        return None
+    a, b = found[pick(len(found), seed, item, "binder")]
+    old = source[a:b]
+    return rename(source, {old: f"renamed_{old}_{hashlib.sha256(f'{seed}{chr(0)}{item}{chr(0)}{old}'.encode()).hexdigest()[:8]}"})[0]
+
+
+def change_premise(source: str, item: str, seed: int) -> str | None:
+    """A relation or a number inside an explicit premise (one line, round brackets) exchanged."""
+    spans = []
+    for a, _, b in groups(source, "(", *header(source)):
+        if "\n" not in source[a:b]:
+            spans += _symbols(source, RELATIONS, a, b) + _numbers(source, a, b)
+    if not spans:
+        return None
+    a, b = spans[pick(len(spans), seed, item, "premise")]
+    new = RELATIONS.get(source[a:b]) or _neighbour(source[a:b])
+    return None if new is None else spliced(source, a, b, new)
+
+
 def flip_relation(source: str, item: str, seed: int) -> str | None:
     return _flip(source, item, seed, RELATIONS, "relation")
 
@@ -176,33 +307,17 @@ def flip_arithmetic(source: str, item: str, seed: int) -> str | None:
 
 def change_number(source: str, item: str, seed: int) -> str | None:
     """One number of the header exchanged for a neighbour of the same width."""
-    d = declaration(source)
-    if d is None:
-        return None
-    stop, spans = header_end(source, d[2]), []
-    for p in pieces(source):
-        i = max(p.start, d[2])
-        while p.kind == "code" and i < min(p.end, stop):
-            j = i
-            while j < min(p.end, stop) and (source[j].isdigit() or (j > i and continues_name(source[j])) or (j == i and starts_name(source[j]))):
-                j += 1
-            if source[i:j].isdigit():
-                spans.append((i, j))
-            i = max(j, i + 1)
+    spans = _numbers(source, *header(source))
     if not spans:
         return None
     a, b = spans[pick(len(spans), seed, item, "number")]
-    value = int(source[a:b])
-    new = next((value + x for x in (1, -1, 2, -2) if value + x >= 0 and len(str(value + x)) == b - a), None)
-    return None if new is None else source[:a] + str(new) + source[b:]
+    new = _neighbour(source[a:b])
+    return None if new is None else spliced(source, a, b, new)
 
 
 def drop_step(source: str, item: str, seed: int) -> str | None:
     """One proof line that is not structural left empty."""
-    d = declaration(source)
-    if d is None:
-        return None
-    stop, lines, at = header_end(source, d[2]), source.split("\n"), 0
+    stop, lines, at = header(source)[1], source.split("\n"), 0
     found = []
     for i, line in enumerate(lines):
         if at > stop and line.strip() and line.strip() not in ("begin", "end", "by") and not line.strip().startswith(("--", "/-")):
@@ -222,21 +337,20 @@ def respace(source: str, item: str, seed: int) -> str:
 
 
 def comment(source: str, item: str, seed: int) -> str:
-    n = 1 + pick(2, seed, item, "comments")
-    return "".join(f"/- note {pick(10**6, seed, f'{item}:{i}', 'note')} -/\n" for i in range(n)) + source
+    """One or two block comments before the declaration."""
+    at, n = declaration(source)[3], 1 + pick(2, seed, item, "comments")
+    return spliced(source, at, at, "".join(f"/- note {pick(10**6, seed, f'{item}:{i}', 'note')} -/\n" for i in range(n)))
 
 
-def rename_declaration(source: str, item: str, seed: int) -> str | None:
-    d = declaration(source)
-    if d is None:
-        return None
+def rename_declaration(source: str, item: str, seed: int) -> str:
+    name = declaration(source)[0]
     mark = hashlib.sha256(f"rename\0{seed}\0{item}".encode()).hexdigest()[:10]
-    return rename(source, {d[0]: f"renamed_{mark}_{d[0]}"})[0]
+    return rename(source, {name: f"renamed_{mark}_{name}"})[0]
 
 
 #: Preserving and violating edits by name; the registry is the extension point.
-PRESERVING = {"respace": respace, "comment": comment, "rename_declaration": rename_declaration}
-VIOLATING = {"flip_relation": flip_relation, "flip_arithmetic": flip_arithmetic, "change_number": change_number, "drop_step": drop_step}
+PRESERVING = {"respace": respace, "comment": comment, "rename_declaration": rename_declaration, "rename_binder": rename_binder}
+VIOLATING = {"flip_relation": flip_relation, "flip_arithmetic": flip_arithmetic, "change_number": change_number, "drop_step": drop_step, "change_premise": change_premise}
 
 
 def edit(name: str):
@@ -246,25 +360,47 @@ def edit(name: str):
     return found
 
 
+def _round_trip(source: str, target: str, old: str, new: str) -> str:
+    """Why renaming new back to old does not give the source's tokens; empty if it does."""
+    if any(source[a:b] == new for a, b in names(source)):
+        return "new name is not fresh"
+    return "" if tokens(rename(target, {new: old})[0]) == tokens(source) else "tokens differ"
+
+
 def contract(name: str, source: str, target: str) -> tuple[bool, str]:
     """Whether a preserving edit kept its contract: same tokens, or the same after renaming back."""
+    try:
+        why = _broken(name, source, target)
+    except LexError as e:
+        why = str(e)
+    return not why, why
+
+
+def _broken(name: str, source: str, target: str) -> str:
     if name in ("respace", "comment"):
-        same = tokens(source) == tokens(target)
-        return same, "" if same else "tokens differ"
+        return "" if tokens(source) == tokens(target) else "tokens differ"
     if name == "rename_declaration":
-        old, new = declaration(source), declaration(target)
-        if old is None or new is None:
-            return False, "no declaration"
-        if any(source[a:b] == new[0] for a, b in names(source)):
-            return False, "new name is not fresh"
-        same = tokens(rename(target, {new[0]: old[0]})[0]) == tokens(source)
-        return same, "" if same else "tokens differ"
-    return False, "no contract"
+        old, new = declaration(source)[0], declaration(target)[0]
+        if sum(source[a:b] == old for a, b in names(source)) != 1:
+            return "name stands more than once"
+        return _round_trip(source, target, old, new)
+    if name == "rename_binder":
+        before, after = tokens(source), tokens(target)
+        pairs = {(x, y) for x, y in zip(before, after, strict=False) if x != y}
+        if len(before) != len(after) or len(pairs) != 1:
+            return "not one renaming"
+        old, new = pairs.pop()
+        if old not in {source[a:b] for a, b in binders(source)}:
+            return "no binder of the header"
+        proof = tokens(source[header(source)[1] :])
+        if any((x in BINDING or x == "λ") and y == old for x, y in zip(proof, proof[1:], strict=False)):
+            return "may be bound anew"
+        return _round_trip(source, target, old, new)
+    return "no contract"
 
 
 def statement_changed(source: str, target: str) -> bool:
     def head(text: str) -> list[str]:
-        d = declaration(text)
-        return tokens(text[: header_end(text, d[2])]) if d else []
+        return tokens(text[: header(text)[1]])
 
     return head(source) != head(target)

@@ -16,9 +16,11 @@ def candidates(df: DataFrame, key: str, text: str, valid: str, seed: int = 17, p
 
     def tried(name: str, source: str, item: str):
         try:
-            return lexer.edit(name)(source, item, seed)
+            made = lexer.edit(name)(source, item, seed)
+            lexer.header(made or "")  # a result without a declaration is no candidate
         except lexer.LexError:
             return None
+        return None if made == source else made
 
     def rows(item: str, source: str, ok: bool):
         yield (item, item, None, None, "root", None, "positive" if ok else "negative", source, None, None, False)
@@ -34,12 +36,16 @@ def candidates(df: DataFrame, key: str, text: str, valid: str, seed: int = 17, p
                 made = tried(name, body, parent)
                 yield (f"{parent}/{name}", item, parent, pair, "variant", name, side, made, None if made is None else lexer.contract(name, body, made)[0], None, made is None)
 
-    def run(parts):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-        for pdf in parts:
-            out = [r for item, source, ok in zip(pdf[key].astype(str), pdf[text], pdf[valid], strict=True) for r in rows(item, source or "", bool(ok))]
-            yield pd.DataFrame(out, columns=names).astype(object)
+        kinds = {"string": pa.string(), "boolean": pa.bool_()}
+        fields = [(x.split()[0], kinds[x.split()[1]]) for x in SCHEMA.split(", ")]
+        for batch in batches:
+            for low in range(0, batch.num_rows, 256):  # a source becomes some twenty rows
+                part = batch.slice(low, 256)
+                made = [r for item, source, ok in zip(*[c.to_pylist() for c in part.columns], strict=True) for r in rows(item, source or "", bool(ok))]
+                columns = list(zip(*made, strict=True)) or [()] * len(fields)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
-    return df.select(key, text, valid).mapInPandas(run, SCHEMA)
+    return df.select(df[key].cast("string"), text, valid).mapInArrow(run, SCHEMA)

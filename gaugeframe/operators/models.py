@@ -1,4 +1,5 @@
-"""Small fitted models: Platt scaling, a linear probe, residualised scores, out-of-fold predictions.
+"""Small fitted models: Platt scaling, a linear probe, residualised scores (``crossfit`` has
+out-of-fold predictions).
 
 Fits with a handful of coefficients are solved from distributed sums (gradient, Hessian or normal
 equations): the rows never leave the executors, only a d x d matrix does.
@@ -41,15 +42,24 @@ def fit_platt(df: DataFrame, score: str, label: str, penalty: float = 1.0, steps
     return a / scale, b - a * shift / scale
 
 
-def platt(score: Column, fitted: tuple[float, float]) -> Column:
-    return logistic(F.lit(fitted[0]) * score + F.lit(fitted[1]))
+def platt(score: Column, fitted: tuple[float, float] | None) -> Column:
+    """The fitted probability; null where no fit was possible."""
+    return F.lit(None).cast("double") if fitted is None else logistic(F.lit(fitted[0]) * score + F.lit(fitted[1]))
 
 
-def spline_basis(x: Column, low: float, high: float, knots: int) -> list[Column]:
-    """Cubic truncated-power basis with evenly spaced inner knots, on x scaled to [0, 1] and clipped."""
-    u = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - low) / (high - low or 1.0)))
-    inner = [i / (knots - 1) for i in range(1, knots - 1)]
-    return [u, u * u, u * u * u, *[F.pow(F.greatest(F.lit(0.0), u - k), 3) for k in inner]]
+def spline_basis(x: Column, low: float | Column, high: float | Column, knots: int, linear: bool = False) -> list[Column]:
+    """Cubic B-splines on evenly spaced knots from low to high, without the last one (the intercept's
+    part): knots + 1 columns. Beyond the knots they stay as at the end, or go on along the slope."""
+    low, high = (v if isinstance(v, Column) else F.lit(float(v)) for v in (low, high))
+    step = F.when(high > low, (high - low) / (knots - 1)).otherwise(F.lit(1.0))
+    inside = F.greatest(low, F.least(high, x))
+    out = []
+    for i in range(knots + 1):
+        s = (inside - low) / step - (i - 3)
+        part = lambda power, s=s: sum((c * F.pow(F.greatest(F.lit(0.0), s - j), power) for j, c in enumerate((1, -4, 6, -4, 1))), F.lit(0.0))
+        value = part(3) / 6
+        out.append(value + (x - inside) * part(2) / 2 / step if linear else value)
+    return out
 
 
 def fit_ridge(df: DataFrame, features: list[Column], target: Column, alpha: float = 1.0) -> tuple[np.ndarray, float]:
@@ -66,16 +76,30 @@ def fit_ridge(df: DataFrame, features: list[Column], target: Column, alpha: floa
     return w, t["s_y"] / n - sum(c * t[f"s_{a}"] / n for c, a in zip(w, names, strict=True))
 
 
-def residualise(df: DataFrame, fit_rows: DataFrame, target: str, nuisances: list[str], alpha: float = 1.0) -> DataFrame:
-    """Adds residual: target minus a spline ridge on the nuisances, fitted on fit_rows only."""
+def residualise(df: DataFrame, fit_rows: DataFrame, target: str, nuisances: list[str], alpha: float = 1.0, name: str = "residual") -> DataFrame:
+    """Adds ``name``: target minus a spline ridge on the nuisances, fitted on fit_rows only (train
+    roots) and applied to all rows; null where a nuisance is."""
     bounds = fit_rows.agg(F.count("*").alias("n"), *[f(c).cast("double").alias(f"{k}_{c}") for c in nuisances for k, f in (("lo", F.min), ("hi", F.max))]).first()
-    knots = min(5, max(2, (bounds["n"] or 0) // 4))
-    basis = [b for c in nuisances for b in spline_basis(F.col(c).cast("double"), bounds[f"lo_{c}"] or 0.0, bounds[f"hi_{c}"] or 0.0, knots)]
-    w, intercept = fit_ridge(fit_rows, basis, F.col(target), alpha)
+    if bounds["n"] < 4:
+        raise ValueError("at least four rows are needed to residualise")
+    knots = min(5, max(2, bounds["n"] // 4))
+    basis = [b for c in nuisances for b in spline_basis(F.col(c).cast("double"), bounds[f"lo_{c}"], bounds[f"hi_{c}"], knots)]
+    center = fit_rows.agg(*[f(b).alias(f"{k}{i}") for i, b in enumerate(basis) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    scaled = [(b - F.lit(float(center[f"m{i}"]))) / F.lit(float(center[f"s{i}"] or 1.0)) for i, b in enumerate(basis)]
+    w, intercept = fit_ridge(fit_rows, scaled, F.col(target), alpha)
     guess = F.lit(float(intercept))
-    for c, b in zip(w, basis, strict=True):
+    for c, b in zip(w, scaled, strict=True):
         guess = guess + F.lit(float(c)) * b
-    return df.withColumn("residual", F.col(target) - guess)
+    return df.withColumn(name, F.col(target) - guess)
+
+
+def residualise_all(df: DataFrame, fit_rows: DataFrame, targets: list[str], nuisances: list[str]) -> tuple[DataFrame, list[str]]:
+    """One residual per target: (rows, names)."""
+    suffix, names = "_and_".join(n.replace(".", "_") for n in nuisances), []
+    for target in targets:
+        names.append(f"residualised_{target}_on_{suffix}")
+        df = residualise(df, fit_rows, target, nuisances, name=names[-1])
+    return df, names
 
 
 def hash_folds(unit: Column, n: int, seed: int, namespace: str = "fold") -> Column:
@@ -93,7 +117,7 @@ def linear_probe(df: DataFrame, features: str, label: str, unit: str, fit_rows:
     from gaugeframe.operators.rankstats import auroc
 
     rows = df.withColumn("_x", array_to_vector(F.col(features).cast("array<double>"))).withColumn("_y", F.col(label).cast("double")).withColumn("_f", hash_folds(F.col(unit), folds, seed))
-    train = rows.filter(fit_rows).persist()
+    train = rows.filter(fit_rows).persist()  # read by every fit; let go below
 
     def fitted(part: DataFrame, c: float):
         scaler = StandardScaler(inputCol="_x", outputCol="_s", withMean=True, withStd=True).fit(part)
@@ -111,4 +135,5 @@ def linear_probe(df: DataFrame, features: str, label: str, unit: str, fit_rows:
 
     best = grid[0] if len(grid) == 1 else max(grid, key=lambda c: (quality(c), -c))
     out = fitted(train, best)(rows).drop("_x", "_y", "_f")
+    train.unpersist()
     return out.withColumn("c", F.lit(best))

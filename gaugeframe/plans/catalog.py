@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gaugeframe.plans import evidence_queries, metric_queries, model_queries, protocol_queries  # noqa: F401
+from gaugeframe.plans import evidence_queries, metric_queries, model_queries, prepare_queries, protocol_queries  # noqa: F401
 from gaugeframe.plans.registry import QUERIES, SQL
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gaugeframe.functions import lexer
-from gaugeframe.operators import generate, models, spectral
+from gaugeframe.operators import crossfit, generate, models, spectral
+from gaugeframe.operators.splits import exact_split
 from gaugeframe.plans import views
 from gaugeframe.plans.registry import query
 from gaugeframe.streaming import live
@@ -25,21 +26,25 @@ def generated_candidates(spark, d):
 
 
 @query("""with n as (select count(*) filter (p_partkey % 2 = 0) as even, count(*) filter (p_partkey % 2 = 1) as odd from part)
-select unnest(['root', 'counter', 'variant']) as kind, unnest([even + odd, 4 * even, 3 * (even + odd) + 12 * even])::bigint as n, true as contracts_hold from n""")
+select unnest(['root', 'counter', 'variant']) as kind, unnest([even + odd, 5 * even, 4 * (even + odd) + 20 * even])::bigint as n, true as contracts_hold from n""")
 def candidate_counts(spark, d):
     rows = generate.candidates(_sources(spark, d), "id", "text", "ok")
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("contract_ok", F.lit(True)) & ~F.col("skipped")).alias("contracts_hold"))
 
 
-@query()
+TOKENS = "['theorem', 't' || p_partkey, '(', 'a', 'b', ':', 'ℕ', ')', '(', 'h', ':', 'a', '≤', cast(p_partkey % 90 + 10 as varchar), ')', ':', 'a', '+', 'b', '=', 'b', '+', 'a', ':', '=', 'by', 'simp', '[', 'h', ']', 'exact', 'add_comm', 'a', 'b']"
+
+
+@query(f"select cast(p_partkey as varchar) as id, {TOKENS} as tokens, 't' || p_partkey as declared from part")
 def lexer_tokens(spark, d):
-    def run(parts):
-        import pandas as pd
+    def run(batches):
+        import pyarrow as pa
 
-        for pdf in parts:
-            yield pd.DataFrame({"id": pdf["id"], "tokens": [lexer.tokens(t) for t in pdf["text"]], "declared": [lexer.declaration(t)[0] for t in pdf["text"]]})
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lexer.tokens(t) for t in texts], pa.list_(pa.string())), pa.array([lexer.declaration(t)[0] for t in texts], pa.string())], names=["id", "tokens", "declared"])
 
-    return _sources(spark, d).mapInPandas(run, "id string, tokens array<string>, declared string")
+    return _sources(spark, d).select("id", "text").mapInArrow(run, "id string, tokens array<string>, declared string")
 
 
 @query()
@@ -51,8 +56,10 @@ def platt(spark, d):
 
 @query()
 def residual(spark, d):
+    """Fitted on the rows of train units alone."""
     rows = views.flat_scores(spark, d)
-    return models.residualise(rows, rows, "price", ["quantity", "discount"]).select("item_id", "residual")
+    train = rows.join(exact_split(rows, "unit_id", 17).filter("split = 'train'"), "unit_id")
+    return models.residualise(rows, train, "price", ["quantity", "discount"]).select("item_id", "residual")
 
 
 @query()
@@ -82,3 +89,20 @@ def token_statistics(spark, d):
 def live_decisions(spark, d):
     state = spark.createDataFrame([(1, 50.0, 10.0)], "orientation int, threshold double, q double")
     return live.decide(views.read(spark, d, "events"), state).select("event_id", "decision")
+
+
+@query()
+def cross_fitted(spark, d):
+    """Out-of-fold predictions of five methods for two seeds, on document sizes and hashes."""
+    rows = views.document_scores(spark, d).select("doc_id", F.col("label"), F.col("score").alias("size"), (F.pmod(F.xxhash64("doc_id"), F.lit(1000)) / 1000.0).alias("signal"), (F.col("doc_id") % 97).cast("double").alias("level"))
+    return crossfit.predictions(rows, "doc_id", "label", "size", "signal", "level", seeds=(17, 42), folds=5)[0]
+
+
+@query("""with s as (select doc_id, label from (select d.doc_id, l.quality as label from documents d join labels l on d.doc_id = l.doc_id) where label is not null),
+n as (select label, count(*) as n from s group by 1)
+select seed, fold, label, count(*) as n from (
+  select seed, label, cast((row_number() over (partition by seed, label order by sha256('fold' || chr(0) || seed || chr(0) || doc_id), doc_id) - 1) % 5 as integer) as fold from s, (select unnest([17, 42]) as seed)) group by all""")
+def fold_counts(spark, d):
+    """Stratified folds: each label's rows dealt in hash order."""
+    rows = views.document_scores(spark, d)
+    return crossfit.stratified_folds(rows, "doc_id", "label", (17, 42), 5).groupBy("seed", "fold", "label").agg(F.count("*").alias("n"))
