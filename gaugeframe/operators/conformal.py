@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeframe.operators.prefix import on, running
+from gaugeframe.operators.prefix import on, once, running
 
 INF = float("inf")
 
@@ -40,6 +40,7 @@ def quantile(df: DataFrame, keys: list[str], radius: str, alpha: float | Column,
     """
     a = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
     counts = df.groupBy(*keys, radius).agg(F.count("*").alias("_c"))
+    counts = once(counts) if wide else counts
     upto = running(counts, keys, radius, {"_upto": "_c"}, wide=wide)
     n = counts.groupBy(*keys).agg(F.sum("_c").alias("n")).withColumn("k", F.ceil((F.col("n") + 1) * (F.lit(1.0) - a)).cast("bigint"))
     found = on(keys, upto, n).filter("_upto >= k").groupBy(*keys).agg(F.min(radius).alias("_q"))

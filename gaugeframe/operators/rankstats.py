@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.operators.prefix import average_rank, on, running, total
+from gaugeframe.operators.prefix import on, once, rank_table, running, spread, total
 
 NAN = float("nan")
 
@@ -77,8 +77,9 @@ def threshold_argmax(df: DataFrame, keys: list[str], score: str, label: str, wid
     """
     from gaugeframe.functions.scalars import below
 
-    grouped = blocks(df, keys, score, label).withColumn("one", F.lit(1).cast("bigint"))
+    grouped, wide = spread(blocks(df, keys, score, label).withColumn("one", F.lit(1).cast("bigint")), wide)
     cum = running(grouped, keys, score, {"p_upto": "p", "n_upto": "n", "place": "one"}, wide=wide)
+    cum = once(cum) if wide else cum
     if not wide:
         ahead = Window.partitionBy(*keys).orderBy(score)
         cum = cum.withColumn("_next", F.lead(score).over(ahead))
@@ -104,8 +105,8 @@ def threshold_argmax(df: DataFrame, keys: list[str], score: str, label: str, wid
 def spearman(df: DataFrame, keys: list[str], target: str, controls: list[str]) -> DataFrame:
     """Rank correlation of target with each control: (keys, control, rho)."""
     long = df.select(*keys, target, F.expr(f"stack({len(controls)}, " + ", ".join(f"'{c}', cast({c} as double)" for c in controls) + ") as (control, value)")).filter(F.col(target).isNotNull() & F.col("value").isNotNull())
-    by = [*keys, "control"]
-    ranked = average_rank(average_rank(long, by, target, "_rt"), by, "value", "_rv")
+    by, long = [*keys, "control"], once(long)
+    ranked = long.join(rank_table(long, by, target, "_rt"), [*by, target]).join(rank_table(long, by, "value", "_rv"), [*by, "value"])
     return ranked.groupBy(*by).agg(F.corr("_rt", "_rv").alias("rho"))
 
 

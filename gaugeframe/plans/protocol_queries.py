@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gaugeframe.functions import scalars
 from gaugeframe.functions.hashing import stable_hex
 from gaugeframe.operators import conformal, inference, pairs, rankstats, report, splits
-from gaugeframe.operators.prefix import on
+from gaugeframe.operators.prefix import on, once
 from gaugeframe.plans import protocol, views
 from gaugeframe.plans.metric_queries import RADII, THRESHOLD
 from gaugeframe.plans.registry import query
@@ -45,8 +45,8 @@ jv as (select jr.unit_id, jr.side, jr.o, v.score * jr.orientation as ch, jr.thre
 
 
 def _fitted(spark, d):
-    rows = protocol.kept(views.tree(spark, d))
-    split = protocol.kept(splits.exact_split(rows, "unit_id", 17, wide=False))
+    rows = once(views.tree(spark, d))
+    split = once(splits.exact_split(rows, "unit_id", 17))
     return rows, split, protocol.fit(rows, split, [], 0.1)
 
 
@@ -217,7 +217,7 @@ def _sweep(spark, d):
 @query(SWEEP + " select family, candidate, orientation, round(train_auroc, 5) as train_auroc from (select *, row_number() over (partition by family order by train_auroc desc, candidate) as r from t) where r = 1")
 def family_selection(spark, d):
     rows = _sweep(spark, d)
-    chosen = protocol.select_family(rows, splits.exact_split(rows, "unit_id", 17, wide=False), ["family"], "candidate")
+    chosen = protocol.select_family(rows, splits.exact_split(rows, "unit_id", 17), ["family"], "candidate")
     return chosen.withColumn("train_auroc", F.round("train_auroc", 5))  # one value lies on the edge of six decimals
 
 
@@ -227,10 +227,10 @@ c2 as (select *, coalesce(sum(n) over (partition by candidate order by s rows be
 select candidate, sum(p)::bigint as n_pos, sum(n)::bigint as n_neg, round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) as auroc from c2 group by candidate""")
 def observational_transfer(spark, d):
     rows = _sweep(spark, d)
-    split = splits.exact_split(rows, "unit_id", 17, wide=False)
+    split = splits.exact_split(rows, "unit_id", 17)
     turned = protocol.orientation(protocol.cells(rows.join(split.filter("split = 'train'"), "unit_id"), ["candidate"]), ["candidate"])
     test = on(["candidate"], rows.join(split.filter("split = 'test'"), "unit_id"), turned).withColumn("score", F.col("score") * F.col("orientation"))
-    return rankstats.auroc(test, ["candidate"], "score", "label", wide=False)
+    return rankstats.auroc(test, ["candidate"], "score", "label")
 
 
 @query("with " + views.LONG + """, v as (select candidate, label, case when cast(substr(unit_id, length(unit_id), 1) as integer) = 3 then null else score end as s from long)
@@ -250,15 +250,15 @@ select alpha, size, side, case when max(pool) < size then 'not_applicable' else
 def ablation_grid(spark, d):
     """Quantiles over a grid of error levels and calibration sizes, all in one plan."""
     rows = views.tree(spark, d)
-    assigned = rows.join(splits.exact_split(rows, "unit_id", 17, wide=False), "unit_id")
+    assigned = rows.join(splits.exact_split(rows, "unit_id", 17), "unit_id")
     per = protocol.calibration_radii(assigned.filter("split = 'calibration'"), [], None, 17)
     from gaugeframe.operators.prefix import hash_rank
 
-    ranked = hash_rank(per.withColumn("_h", stable_hex("calibration-subsample", 17, F.concat_ws("|", "side", "unit_id"))), ["side"], "_h", "_r", ("unit_id",), wide=False)
+    ranked = hash_rank(per.withColumn("_h", stable_hex("calibration-subsample", 17, F.concat_ws("|", "side", "unit_id"))), ["side"], "_h", "_r", ("unit_id",))
     grid = spark.createDataFrame([(a, s) for a in (0.05, 0.2) for s in (5, 20, 1_000_000)], "alpha double, size int")
     pool = ranked.groupBy("side").agg(F.count("*").alias("pool"))
     points = ranked.join(F.broadcast(grid), F.col("_r") <= F.col("size"))
-    q = conformal.quantile(points, ["alpha", "size", "side"], "radius", F.col("alpha"), wide=False).join(F.broadcast(pool), "side")
+    q = conformal.quantile(points, ["alpha", "size", "side"], "radius", F.col("alpha")).join(F.broadcast(pool), "side")
     return q.select("alpha", "size", "side", F.when(F.col("pool") < F.col("size"), "not_applicable").otherwise("ok").alias("status"), "n", "k", "q")
 
 
@@ -268,7 +268,7 @@ h as (select *, row_number() over (partition by side order by sha256('calibratio
 select side, unit_id, round(r, 6) as radius from h where o <= 15""")
 def calibration_subsample(spark, d):
     rows = views.tree(spark, d)
-    assigned = rows.join(splits.exact_split(rows, "unit_id", 17, wide=False), "unit_id").filter("split = 'calibration'")
+    assigned = rows.join(splits.exact_split(rows, "unit_id", 17), "unit_id").filter("split = 'calibration'")
     return protocol.calibration_radii(assigned, [], 15, 17).select("side", "unit_id", "radius")
 
 

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaugeframe.operators.prefix import free, scope
+
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
     def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        def run(spark, sf_dir: str) -> DataFrame:
+            with scope() as held:
+                out = rounded(f(spark, sf_dir))
+            weakref.finalize(out, free, held)  # what the plan keeps goes with its result
+            return out
+
+        QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = sql
         return f

@@ -15,9 +15,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def flat_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per order line: unit, item, label and four candidate scores."""
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("f"), F.max("l_extendedprice").alias("price"), F.max("l_discount").alias("discount"), F.max("l_tax").alias("tax"), F.max("l_quantity").alias("quantity"))
+    # R is the largest flag: the largest of 0 and 1 aggregates by hash, a string would be sorted
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("label"), F.max("l_extendedprice").alias("price"), F.max("l_discount").alias("discount"), F.max("l_tax").alias("tax"), F.max("l_quantity").alias("quantity"))
     unit = F.col("l_orderkey").cast("string")
-    return lines.select(unit.alias("unit_id"), F.concat_ws("-", unit, F.col("l_linenumber").cast("string")).alias("item_id"), (F.col("f") == "R").cast("int").alias("label"), "price", "discount", "tax", "quantity")
+    return lines.select(unit.alias("unit_id"), F.concat_ws("-", unit, F.col("l_linenumber").cast("string")).alias("item_id"), "label", "price", "discount", "tax", "quantity")
 
 
 FLAT = """flat as (
@@ -48,7 +49,7 @@ DOCS = """docscores as (
 
 def raw_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roots, variants and counters from order lines, orphans included."""
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.max("l_returnflag") == "R").cast("int").alias("own"), F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("score"))
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max((F.col("l_returnflag") == "R").cast("int")).alias("own"), F.max(F.col("l_extendedprice") / F.col("l_quantity")).alias("score"))
     unit = Window.partitionBy("l_orderkey")
     n = F.col("l_linenumber")
     lines = lines.withColumn("root_label", F.max(F.when(n == 1, F.col("own"))).over(unit)).withColumn("has_counter", F.max((n == 5).cast("int")).over(unit) == 1)
