@@ -4,7 +4,9 @@ Every language gets a codeword of bits. One binary classifier per bit weighs has
 log ratio of their probability under the languages whose bit is 1 and under those whose bit is 0
 (each language counts the same in its group). A text's margins for all bits are decoded to the
 codeword of least summed logistic loss, where a bit counts by how well it separates the training
-counts; a runner-up that comes close is flagged as ambiguous.
+counts. Neighbouring n-grams repeat each other's evidence, so a text's margin is its mean per n-gram
+times its n-grams, but no more than ``EVIDENCE`` of them: a long text of two languages stays close
+to both codewords. A runner-up that comes close is flagged as ambiguous.
 
 Training counts cover every labelled training text; they meet in one table of at most
 ``languages x 2 x 65536`` counts, whatever the corpus holds.
@@ -27,6 +29,7 @@ from gaugeframe.llm import _bytes
 from gaugeframe.llm._spark import fold, map_text, table
 
 BUCKETS = 1 << 16
+EVIDENCE = 64
 RESULT = "lang_pred string, score double, runner_up string, ambiguous boolean"
 _CLASS = np.full(256, 0x20, np.uint8)
 _CLASS[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -102,7 +105,8 @@ class Model:
             for b in range(self.code.shape[1]):
                 for w, g in zip(self.weights[b], grams, strict=True):
                     margins[full, b] += np.add.reduceat(w[g], offsets[:-1][full])
-        margins = np.clip(margins / 2, -30, 30)
+        count = np.maximum(1, np.diff(offsets))[:, None]
+        margins = np.clip(margins / 2 * np.minimum(1, EVIDENCE / count), -30, 30)
         loss = np.stack([np.logaddexp(0, -margins * c) @ self.trust for c in self.code], 1)
         p = np.exp(loss.min(1, keepdims=True) - loss)
         return p / p.sum(1, keepdims=True)
