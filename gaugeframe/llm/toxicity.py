@@ -9,15 +9,13 @@ with the smallest hash of their id), weighted back to the true share of each lab
 probabilities at the corpus rate. The sample's ids are the only broadcast (their number is the
 bound); the sampled texts are written to the shared folder once; their features reach the driver as one bit per feature and row. Scoring covers whole texts.
 
-Defined cases: null and empty texts hold no feature and get the model's base rate; labels that are
+Defined cases: null and empty texts hold no feature and get the fitted bias as their score; labels that are
 null or not 0 or 1 train nothing; with one label or none in the sample the score is its smoothed
 rate; repeated labelled ids count once (largest label); repeated rows are scored alike.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,31 +75,29 @@ def _sample(docs: DataFrame, labels: DataFrame, text: str, key: str, label: str,
     return stored(rows.select("t", "y"), "toxicity-sample"), counts
 
 
-def _frequencies(rows: DataFrame) -> tuple[list[np.ndarray], list[int]]:
-    """Document frequencies by label of all hashed n-grams in the sample, from a few tasks' tables."""
+def _frequencies(rows: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(bucket, n0, n1): document frequencies by label of all hashed n-grams in the sample, summed on
+    the executors; and the sample's size by label."""
 
     def run(batches):
-        df = np.zeros((2, len(ORDERS), 1 << BITS), np.int32)
-        size = [0, 0]
+        df = np.zeros((2, len(ORDERS) << BITS), np.int32)
         every = [np.arange(i << BITS, (i + 1) << BITS, dtype=np.int64) for i in range(len(ORDERS))]
         for batch in batches:
             for part in _bytes.slices(batch, "t", 1 << 20):
                 raw, offsets = _bytes.view(part.column(0))
                 y = np.array(part.column(1))
                 row, value = grams(raw, offsets, every)
-                pair = np.unique(row * (len(ORDERS) << BITS) + value)
-                row, value = np.divmod(pair, len(ORDERS) << BITS)
+                row, value = np.divmod(np.unique(row * (len(ORDERS) << BITS) + value), len(ORDERS) << BITS)
                 for c in (0, 1):
-                    df[c] += np.bincount(value[y[row] == c], minlength=len(ORDERS) << BITS).reshape(len(ORDERS), -1).astype(np.int32)
-                    size[c] += int((y == c).sum())
-        blob = zlib.compress(df.tobytes(), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([size[0]]), pa.array([size[1]]), pa.array([blob], pa.binary())], names=["n0", "n1", "df"])
+                    df[c] += np.bincount(value[y[row] == c], minlength=df.shape[1]).astype(np.int32)
+        found = np.flatnonzero(df.any(0))
+        for i in range(0, len(found), 1 << 16):
+            at = found[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[0][at]), pa.array(df[1][at])], names=["bucket", "n0", "n1"])
 
-    total, size = np.zeros((2, len(ORDERS), 1 << BITS), np.int64), [0, 0]
-    for r in rows.repartition(6).mapInArrow(run, "n0 bigint, n1 bigint, df binary").toLocalIterator():
-        total += np.frombuffer(zlib.decompress(bytes(r.df)), np.int32).reshape(total.shape)
-        size = [size[0] + r.n0, size[1] + r.n1]
-    return total, size
+    size = {int(r.y): int(r.n) for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    counted = rows.mapInArrow(run, "bucket int, n0 int, n1 int").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return counted, [size.get(0, 0), size.get(1, 0)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", most_toxic: int = 4000, most_clean: int = 8000, n_features: int = 4096, penalty: float = 1.0) -> Model:
@@ -113,20 +109,18 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     if not min(size):
         return Model(empty, np.zeros(1), base)
     # log-count ratio with add-one smoothing, and how many standard errors it is from zero
-    p, q = (df[1] + 1.0) / (size[1] + 2.0), (df[0] + 1.0) / (size[0] + 2.0)
-    ratio = np.log(p / q)
-    pool = (df[0] + df[1] + 1.0) / (sum(size) + 2.0)
-    strength = np.abs(p - q) / np.sqrt(pool * (1 - pool) * (1 / size[0] + 1 / size[1]))
-    strength[(df[0] + df[1]) < 3] = 0
-    flat = strength.ravel()
-    chosen = np.sort(np.argsort(-flat, kind="stable")[:n_features])
-    chosen = chosen[flat[chosen] > 0]
+    p, q = (F.col("n1") + 1.0) / (size[1] + 2.0), (F.col("n0") + 1.0) / (size[0] + 2.0)
+    pool = (F.col("n0") + F.col("n1") + 1.0) / (sum(size) + 2.0)
+    strength = F.abs(p - q) / F.sqrt(pool * (1 - pool) * (1 / size[0] + 1 / size[1]))
+    strong = df.filter(F.col("n0") + F.col("n1") >= 3).select("bucket", F.log(p / q).alias("ratio"), strength.alias("strength")).filter("strength > 0")
+    best = sorted((r.bucket, r.ratio) for r in strong.orderBy(F.desc("strength"), "bucket").limit(n_features).collect())
+    chosen = np.array([x for x, _ in best], np.int64)
     if not len(chosen):
         return Model(empty, np.zeros(1), base)
     table_ = np.full(len(ORDERS) << BITS, -1, np.int32)
     table_[chosen] = np.arange(len(chosen))
     model = Model(list(table_.reshape(len(ORDERS), -1)), np.zeros(len(chosen)), base)
-    scale = ratio.ravel()[chosen]
+    scale = np.array([x for _, x in best])
 
     def bits(batches):
         for batch in batches:
