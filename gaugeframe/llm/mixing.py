@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeframe.llm import _bytes
-from gaugeframe.llm._spark import table, text_digest
+from gaugeframe.llm._spark import stored, table, text_digest
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -101,7 +101,8 @@ def choose(sizes: np.ndarray, goal: int, block: int, seed: int) -> np.ndarray:
 
 def plan(rows: DataFrame, *, key: list[str], source: str = "source", size: str = "size", weights: tuple[float, ...] = (3, 1, 2), factor: float = 1.5, cap: float = 2.0, block_tokens: int = 256, rows_per_shard: int = 256, most_shards: int = 1 << 16, most_sources: int = 100_000, seed: int = 20) -> DataFrame:
     """Rows of ``key``, source and size with source_size, target (of its source) and taken."""
-    rows = rows.select(*key, F.col(source).alias("_source"), F.col(size).cast("bigint").alias("_size"))
+    # sizes are read three times (sources, shards, choice) and counted once
+    rows = stored(rows.select(*key, F.col(f"`{source}`").alias("_source"), F.col(f"`{size}`").cast("bigint").alias("_size")), "sizes")
     found = rows.groupBy("_source").agg(F.sum("_size").alias("size"), F.count("*").alias("rows")).orderBy(F.col("_source").asc_nulls_last()).limit(most_sources + 1).collect()
     if len(found) > most_sources:
         raise ValueError(f"more than {most_sources} sources")
@@ -142,14 +143,16 @@ def plan(rows: DataFrame, *, key: list[str], source: str = "source", size: str =
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The documents with size, source_size, target and taken (columns of these names give way)."""
+    """The documents with size, source_size, target and taken (columns of these names give way; all
+    others stay, whatever their names)."""
     made = ["size", "source_size", "target", "taken"]
-    docs = docs.select(*[c for c in docs.columns if c not in made], text_digest(F.col(text)).alias("_text"))
-    entries = docs.select(F.col(doc_id).alias("_id"), "_text", F.col(source).alias("_from"), words_in(F.col(text)).alias("size")).groupBy("_id", "_text", "_from").agg(F.max("size").alias("size"), F.count("*").alias("_n"))
+    kept = [c for c in docs.columns if c not in made]
+    docs = docs.select(*[F.col(f"`{c}`") for c in kept], text_digest(F.col(f"`{text}`")).alias("_gf_text"))
+    entries = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.col("_gf_text").alias("_text"), F.col(f"`{source}`").alias("_from"), words_in(F.col(f"`{text}`")).alias("size")).groupBy("_id", "_text", "_from").agg(F.max("size").alias("size"), F.count("*").alias("_n"))
     planned = plan(entries.withColumn("size", F.col("size") * F.col("_n")), key=["_id", "_text", "_n"], source="_from", **options)
-    planned = planned.select("_id", F.col("_text").alias("_digest"), "_from", (F.col("size") / F.col("_n")).cast("bigint").alias("size"), "source_size", "target", F.expr("taken div _n").alias("taken"))
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_digest")) & F.col(source).eqNullSafe(F.col("_from"))
-    return docs.join(planned, same, "left").drop("_id", "_text", "_digest", "_from")
+    planned = planned.select(F.col("_id").alias("_gf_i"), F.col("_text").alias("_gf_t"), F.col("_from").alias("_gf_f"), (F.col("size") / F.col("_n")).cast("bigint").alias("size"), "source_size", "target", F.expr("taken div _n").alias("taken"))
+    same = F.col(f"`{doc_id}`").eqNullSafe(F.col("_gf_i")) & (F.col("_gf_text") == F.col("_gf_t")) & F.col(f"`{source}`").eqNullSafe(F.col("_gf_f"))
+    return docs.join(planned, same, "left").select(*[F.col(f"`{c}`") for c in kept], *made)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
