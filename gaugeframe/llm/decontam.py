@@ -216,14 +216,15 @@ class _Kernel:
         return [n_words, n_hit, [len(x) for x in items], items, spans, bad, texts]
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, least_words: int = 1, share: tuple[int, int] = (1, 20), texts: bool = True, keep: list[str] | None = None, chunk_bytes: int = 32 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, least_words: int = 1, share: tuple[int, int] = (1, 20), texts: bool = True, keep: list[str] | None = None, chunk_bytes: int = 2 << 20) -> DataFrame:
     """Each document with what the items' windows cover.
 
     Adds n_words, n_hit, n_items, item_ids (sorted), spans (byte offsets of covered runs in the
     original text), contaminated (n_hit >= least_words and n_hit / n_words >= share), and clean_text
     (the text without its covered runs if contaminated, else as it was; null unless ``texts``).
-    Items stream to the driver and become automata of at most ``chunk_bytes`` of item text each; each
-    goes to the executors as one broadcast of that bounded size, and every document passes all.
+    Items stream to the driver and become automata of at most ``chunk_bytes`` of item text each (some
+    hundred bytes of memory per byte while one is built); each goes to the executors as one broadcast
+    of that bounded size, and every document passes all.
     """
     context = docs.sparkSession.sparkContext
     indexes, chunk, size = [], [], 0
