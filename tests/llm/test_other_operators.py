@@ -53,6 +53,66 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(df.filter("vec_id <= 3"), F.col("vec_id") == 0, k=7).count() == 3
 
 
+def test_top_k_refuses_what_a_score_cannot_hold(spark):
+    df = spark.createDataFrame([(i, [1e300 if i == 3 else 1.0]) for i in range(6)], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="62 bits"):
+        topk.top_k(df, F.col("vec_id") == 0).collect()
+    wide = spark.createDataFrame([(i, [float(i) * 1e6]) for i in range(6)], "vec_id bigint, embedding array<double>")
+    out = topk.top_k(wide, F.col("vec_id") == 5, k=2, block_rows=2, tile_blocks=1).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in out] == [(4, 5 * 4 * 64 * 64 * 10**12), (3, 5 * 3 * 64 * 64 * 10**12)]
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "w " * i, "a" if i % 2 else None, "mine", 7) for i in range(20)], "doc_id bigint, text string, source string, _text string, _id int")
+    out = mixing.mix(docs)
+    assert out.columns[:5] == docs.columns and out.filter("_text = 'mine' and _id = 7").count() == 20
+
+
+def brute_mix(rows, targets, block, seed, rows_per_shard):
+    """Takings by direct simulation: seats by highest quotient, blocks in seeded order."""
+    from gaugeframe.llm import _bytes
+
+    sizes = [sum(s for _, k, s, *_ in rows if k == i) for i in range(len(targets))]
+    def seats_of(weights, n):
+        got = [0] * len(weights)
+        for _ in range(n if sum(weights) > 0 else 0):
+            got[max(range(len(weights)), key=lambda i: (weights[i] / (2 * got[i] + 1), -i))] += 1
+        return got
+    seats, taken = seats_of(targets, round(sum(targets) / block)), {}
+    for i in range(len(targets)):
+        shards = sorted({sh for _, k, _, sh, _ in rows if k == i})
+        content = [sorted((o, d, s) for d, k, s, sh, o in rows if k == i and sh == x) for x in shards]
+        for x, own, q in zip(shards, content, seats_of([float(sum(s for *_, s in c)) for c in content], seats[i]), strict=True):
+            stream = [d for _, d, s in own for _ in range(s)]
+            goal = min(q * block, 2 * len(stream))
+            times = {d: 0 for _, d, _ in own}
+            if stream:
+                for d in stream * (goal // len(stream)):
+                    times[d] += 1
+                rest, n = goal % len(stream), -(-len(stream) // block)
+                order = np.argsort(_bytes.mix(np.arange(n, dtype=np.uint64) + np.uint64((seed * 1_000_003 + i * 65_537 + x) % (1 << 64))), kind="stable")
+                for d in [stream[t] for b in order for t in range(b * block, min(len(stream), (b + 1) * block))][:rest]:
+                    times[d] += 1
+            taken |= times
+    return taken
+
+
+def test_mixing_matches_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["a", "b", None]), rng.randint(0, 60)) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    got = {r.doc_id: r for r in mixing.plan(df, key=["doc_id"], rows_per_shard=20).collect()}
+    names = ["a", "b", None]
+    totals = [sum(s for _, x, s in rows if x == n) for n in names]
+    targets = mixing.fill(totals, [3, 1, 2], 1.5 * sum(totals))
+    block = max(1, min(256, min(totals) // 64))
+    placed = df.withColumn("o", F.xxhash64(F.lit(20), "doc_id")).withColumn("h", F.xxhash64(F.lit(21), "doc_id")).collect()
+    shards = [max(1, -(-sum(1 for _, x, _ in rows if x == n) // 20)) for n in names]
+    flat = [(r.doc_id, names.index(r.source), r["size"], r.h % shards[names.index(r.source)], r.o) for r in placed]
+    want = brute_mix(flat, targets, block, 20, 20)
+    assert {i: r.taken for i, r in got.items()} == want
+
+
 def test_induced_sort_is_exact():
     rng = np.random.default_rng(1)
     for _ in range(120):

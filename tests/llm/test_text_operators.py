@@ -212,6 +212,10 @@ def test_language_id(spark):
     out = {r.doc_id: r for r in langid.predict(df, model).collect()}
     assert all(out[i].lang_pred == ("en" if i % 2 else "fr") and 0 <= out[i].score <= 1 and not out[i].ambiguous for i in range(40, 60))
     assert [out[i].lang_pred for i in (60, 61, 62)] == ["und"] * 3 and out[60].score == 0 and out[63].lang_pred in ("en", "fr")
+    both = frame(spark, [make("thersan") + " " + make("quevoiz")] * 3 + [make("thersan")])
+    assert [r.ambiguous for r in langid.predict(both, model).orderBy("doc_id").collect()][3] is False
+    close = langid.Model({"en": np.ones((2, langid.BUCKETS)), "fr": np.ones((2, langid.BUCKETS))})
+    assert all(r.ambiguous and r.score == 0.5 for r in langid.predict(both, close).collect())
     nothing = langid.fit(df.filter("false"))
     assert {r.lang_pred for r in langid.predict(df, nothing).collect()} == {"und"}
     code = langid.codebook(9)
