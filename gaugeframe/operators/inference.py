@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeframe.functions.hashing import hex_to_long
-from gaugeframe.operators.prefix import on
+from gaugeframe.operators.prefix import on, once
 from gaugeframe.operators.rankstats import auroc
 
 
@@ -55,11 +55,14 @@ def _draws(groups: DataFrame, unit: str, replicates: int, seed: int) -> DataFram
     ships one row per distinct unit drawn.
     """
     spark = groups.sparkSession
-    ranked = groups.select(unit).distinct()
-    ranked = ranked.withColumn("_i", F.row_number().over(Window.orderBy(unit)) - 1)
-    n = ranked.agg(F.count("*").alias("_g"))
-    slots = spark.range(replicates).withColumnRenamed("id", "rep").crossJoin(F.broadcast(n)).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_g") - 1)))
-    pick = hex_to_long(F.sha2(F.concat_ws(":", F.lit(seed), F.col("rep"), F.col("slot")).cast("binary"), 256)) % F.col("_g")
+    placed = once(groups.select(unit).distinct().orderBy(unit).select(unit, F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")))
+    # places in order without one window over all units: partitions follow one another
+    parts = placed.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    parts = parts.withColumn("_o", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per partition
+    ranked = placed.join(F.broadcast(parts), "_p").select(unit, (F.col("_o") + F.col("_m") - F.col("_first")).alias("_i"))
+    n = max(1, placed.count())
+    slots = spark.range(replicates * n).select(F.expr(f"id div {n}").alias("rep"), (F.col("id") % n).alias("slot"))
+    pick = hex_to_long(F.sha2(F.concat_ws(":", F.lit(seed), F.col("rep"), F.col("slot")).cast("binary"), 256)) % n
     drawn = slots.select("rep", pick.alias("_i")).groupBy("rep", "_i").agg(F.count("*").alias("times"))
     return drawn.join(ranked, "_i").select("rep", unit, "times")
 
@@ -85,7 +88,10 @@ def bootstrap_auc_difference(df: DataFrame, unit: str, label: str, first: str, s
 
 
 def permutation_exact(df: DataFrame, difference: str, tie: str) -> DataFrame:
-    """Two-sided sign-flip test by all 2^n sign patterns; for up to 18 pairs."""
+    """Two-sided sign-flip test by all 2^n sign patterns; for up to 18 pairs, more are refused
+    (``permutation_sampled`` takes any number)."""
+    if len(df.limit(19).collect()) > 18:
+        raise ValueError("more than 18 pairs")
     line = df.agg(F.array_sort(F.collect_list(F.struct(tie, difference))).alias("_x")).select(F.transform("_x", lambda e: e[difference]).alias("d"), F.size("_x").alias("n"))
     observed = F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.col("n")
     signs = line.withColumn("observed", observed).withColumn("mask", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("shiftleft(1L, n) - 1"))))

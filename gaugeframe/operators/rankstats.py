@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugeframe.operators.prefix import on, once, rank_table, running, spread, total
+from gaugeframe.operators.prefix import on, once, rank_table, running, spread, total, with_buckets
 
 NAN = float("nan")
 
@@ -111,9 +111,19 @@ def spearman(df: DataFrame, keys: list[str], target: str, controls: list[str]) -
 
 
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, tie: str) -> DataFrame:
-    """Adds p_adjusted. The family of tests of one key is assumed to fit a window partition."""
-    order = Window.partitionBy(*keys).orderBy(p, tie) if keys else Window.orderBy(p, tie)
-    size = Window.partitionBy(*keys)
-    ranked = df.withColumn("_k", F.row_number().over(order)).withColumn("_n", F.count("*").over(size))
-    suffix = order.rowsBetween(0, Window.unboundedFollowing)
-    return ranked.withColumn("p_adjusted", F.least(F.min(F.col(p) * F.col("_n") / F.col("_k")).over(suffix), F.lit(1.0))).drop("_k", "_n")
+    """Adds p_adjusted: the least p * n / rank at or after each test's place in order. Families beyond
+    one window's size are spread over buckets."""
+    rows, wide = spread(df)
+    if not wide:
+        order = Window.partitionBy(*keys).orderBy(p, tie)
+        ranked = rows.withColumn("_k", F.row_number().over(order)).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+        suffix = order.rowsBetween(0, Window.unboundedFollowing)
+        return ranked.withColumn("p_adjusted", F.least(F.min(F.col(p) * F.col("_n") / F.col("_k")).over(suffix), F.lit(1.0))).drop("_k", "_n")
+    ranked = running(rows.withColumn("_one", F.lit(1).cast("bigint")), keys, p, {"_k": "_one"}, ties=(tie,)).drop("_one")
+    sized = on(keys, ranked, rows.groupBy(*keys).agg(F.count("*").alias("_n")))
+    placed = once(with_buckets(once(sized.withColumn("_raw", F.col(p) * F.col("_n") / F.col("_k"))), keys, p))
+    later = Window.partitionBy(*keys).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
+    after = placed.groupBy(*keys, "_b").agg(F.min("_raw").alias("_least")).withColumn("_later", F.min("_least").over(later)).drop("_least")
+    inside = Window.partitionBy(*keys, "_b").orderBy("_k").rowsBetween(0, Window.unboundedFollowing)
+    local = placed.withColumn("_own", F.min("_raw").over(inside)).join(after, [*keys, "_b"])
+    return local.withColumn("p_adjusted", F.least("_own", F.coalesce("_later", F.lit(1.0)), F.lit(1.0))).drop("_k", "_n", "_raw", "_b", "_own", "_later")

@@ -58,14 +58,25 @@ def top_per_parent(df: DataFrame, parent: str, key: str, k: int, seed: int, name
 def pack_groups(df: DataFrame, group: str, budget: int, seed: int, namespace: str = "group-pack") -> DataFrame:
     """Groups taken whole in hash order while they fit the row budget; one that does not is skipped.
 
-    The fold runs over group counts (a small table), in one pass of ``aggregate``.
+    Whether a group fits depends on all before it: the group counts pass one task in order, as a
+    stream (sorted with spilling, constant memory).
     """
     counts = df.groupBy(group).agg(F.count("*").alias("n")).withColumn("_h", stable_hex(namespace, seed, F.col(group)))
-    line = counts.agg(F.array_sort(F.collect_list(F.struct("_h", group, "n"))).alias("g"))
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast("array<string>").alias("kept"))
-    fits = lambda acc, x: acc["used"] + x["n"] <= budget
-    step = lambda acc, x: F.struct((acc["used"] + F.when(fits(acc, x), x["n"]).otherwise(0)).alias("used"), F.when(fits(acc, x), F.concat(acc["kept"], F.array(x[group].cast("string")))).otherwise(acc["kept"]).alias("kept"))
-    return line.select(F.explode(F.aggregate("g", start, step)["kept"]).alias(group))
+
+    def fold(batches):
+        used = 0
+        for batch in batches:
+            kept = []
+            for n in batch.column(1).to_pylist():
+                kept.append(used + n <= budget)
+                used += n if kept[-1] else 0
+            import pyarrow as pa
+
+            yield batch.select([0]).filter(pa.array(kept, pa.bool_()))
+
+    kind = df.schema[group].dataType.simpleString()
+    ordered = counts.repartition(1).sortWithinPartitions("_h", group).select(group, "n")
+    return ordered.mapInArrow(fold, f"`{group}` {kind}").select(F.col(group).cast("string").alias(group))
 
 
 def greedy_batches(df: DataFrame, key: list[str], order: str, length: str, budget: int, most: int) -> DataFrame:
