@@ -58,8 +58,9 @@ def rebuilt(docs: DataFrame, gone: DataFrame, text: str, unit: str) -> DataFrame
     is linear in a text's pieces: starts come from sums over chunks, membership from a byte mask.
     """
     per_doc = gone.groupBy("_id", "_text").agg(F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("_pos")))).alias("_gf_gone"), F.count_distinct("_pos").alias("_gf_listed"))
-    same = F.col("_gf_id").eqNullSafe(F.col("_id")) & (F.col("_gf_text") == F.col("_text"))
-    joined = docs.join(per_doc, same, "left").drop("_id", "_text")
+    per_doc = per_doc.withColumnsRenamed({"_id": "_gf_i", "_text": "_gf_t"})
+    same = F.col("_gf_id").eqNullSafe(F.col("_gf_i")) & (F.col("_gf_text") == F.col("_gf_t"))
+    joined = docs.join(per_doc, same, "left").drop("_gf_i", "_gf_t")
     cut = F.when(F.length(text) > 0, pieces(F.col(text), unit))
     joined = joined.withColumn("_gf_gone", F.coalesce("_gf_gone", F.array().cast("array<int>"))).withColumn("_gf_parts", cut)
     some = F.size("_gf_gone") > 0
