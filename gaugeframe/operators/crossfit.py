@@ -17,7 +17,7 @@ from gaugeframe.functions.hashing import stable_hex
 from gaugeframe.functions.scalars import logistic
 from gaugeframe.operators import inference, rankstats
 from gaugeframe.operators.models import spline_basis
-from gaugeframe.operators.prefix import hash_rank
+from gaugeframe.operators.prefix import hash_rank, once
 
 METHODS = ("size", "signal", "size_plus_signal", "size_plus_level", "signal_residualised")
 
@@ -63,23 +63,43 @@ def _linear(names: list[str]) -> Column:
     return reduce(lambda a, x: a + F.col(f"w_{x}") * F.col(f"z_{x}"), names, F.col("w_"))
 
 
+def _newton_sums(train: DataFrame, names: list[str], weights: dict[tuple, np.ndarray]) -> dict[tuple, np.ndarray]:
+    """Per group gradient and Hessian of the logistic loss (the Hessian below the gradient): every
+    partition sums its own rows, one small matrix per partition and group reaches the driver."""
+    d = len(names) + 1
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            seed, fold, y, *z = (np.array(c) for c in batch.columns)
+            x = np.column_stack([np.ones(len(y)), *z])
+            for g in {(int(a), int(b)) for a, b in zip(seed, fold, strict=True)}:
+                own = (seed == g[0]) & (fold == g[1])
+                xs = x[own]
+                p = 1 / (1 + np.exp(-np.clip(xs @ weights[g], -500, 500)))
+                held.setdefault(g, np.zeros((d + 1, d)))
+                held[g] += np.vstack([(p - y[own]) @ xs, xs.T @ (xs * (p * (1 - p))[:, None])])
+        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in held], pa.int32()), pa.array([g[1] for g in held], pa.int32()), pa.array([m.tobytes() for m in held.values()], pa.binary())], names=["seed", "held", "m"])
+
+    out: dict[tuple, np.ndarray] = {}
+    for r in train.select("seed", "held", "_y", *[f"z_{x}" for x in names]).mapInArrow(run, "seed int, held int, m binary").collect():
+        g = (r["seed"], r["held"])
+        out[g] = out.get(g, 0) + np.frombuffer(bytes(r["m"])).reshape(d + 1, d)
+    return out
+
+
 def _logistic_fit(train: DataFrame, names: list[str], c: float = 1.0, steps: int = 12) -> dict[tuple, np.ndarray]:
     """Weights (intercept first) of an L2 logistic model on the z_ columns, per group."""
-    one = [F.lit(1.0), *[F.col(f"z_{x}") for x in names]]
-    d = len(one)
-    weights: dict[tuple, np.ndarray] = {}
+    d = len(names) + 1
+    weights = {(r["seed"], r["held"]): np.zeros(d) for r in train.select("seed", "held").distinct().collect()}
+    ridge = np.diag([1e-9] + [1 / c] * (d - 1))
     for _ in range(steps):
-        groups = weights or {g: np.zeros(d) for g in _group_sums(train, {"n": F.lit(1.0)})}
-        placed = _with(train, {g: {"w_": w[0]} | {f"w_{x}": w[i + 1] for i, x in enumerate(names)} for g, w in groups.items()})
-        p = F.col("_p")
-        placed = placed.withColumn("_p", logistic(_linear(names)))
-        terms = {f"g{i}": (p - F.col("_y")) * a for i, a in enumerate(one)} | {f"h{i}_{j}": p * (1 - p) * one[i] * one[j] for i in range(d) for j in range(i, d)}
-        sums, worst = _group_sums(placed, terms), 0.0
-        ridge = np.diag([1e-9] + [1 / c] * (d - 1))
-        for g, w in groups.items():
-            h = np.array([[sums[g][f"h{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)]) + ridge
-            step = np.linalg.solve(h, np.array([sums[g][f"g{i}"] for i in range(d)]) + ridge @ w)
-            weights[g] = w - step
+        worst = 0.0
+        for g, m in _newton_sums(train, names, weights).items():
+            step = np.linalg.solve(m[1:] + ridge, m[0] + ridge @ weights[g])
+            weights[g] = weights[g] - step
             worst = max(worst, float(np.abs(step).max()))
         if worst < 1e-8:
             break
@@ -110,11 +130,9 @@ def _splined(rows: DataFrame, columns: list[str], knots: int) -> tuple[DataFrame
 
 def _classified(rows: DataFrame, names: list[str], as_: str) -> DataFrame:
     """Held-out rows with the probability of a scaled logistic model fitted on the group's train rows."""
-    scaled = _scaled(rows, names, _standardised(rows.filter("_train"), names))
-    train = scaled.filter("_train").select("seed", "held", "_y", *[f"z_{x}" for x in names]).persist()  # read by every step
-    weights = _logistic_fit(train, names)
-    train.unpersist()
-    return _applied(scaled.filter("not _train"), names, weights, as_)
+    rows = once(rows.select("_key", "_y", "seed", "held", "_train", *names))
+    scaled = once(_scaled(rows, names, _standardised(rows.filter("_train"), names)).select("_key", "_y", "seed", "held", "_train", *[f"z_{x}" for x in names]))
+    return once(_applied(scaled.filter("not _train"), names, _logistic_fit(scaled.filter("_train"), names), as_))
 
 
 def predictions(df: DataFrame, key: str, label: str, size: str, signal: str, level: str, seeds: tuple[int, ...] = (17,), folds: int = 5, knots: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -125,15 +143,16 @@ def predictions(df: DataFrame, key: str, label: str, size: str, signal: str, lev
     signal with its spline on size taken out. Rows with a null take no part.
     """
     base = df.select(F.col(key).alias("_key"), F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(n) for c, n in ((size, "size"), (signal, "signal"), (level, "level"))]).dropna()
-    dealt = stratified_folds(base, "_key", "_y", seeds, folds)
-    rows = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held")).withColumn("_train", F.col("fold") != F.col("held")).persist()
+    dealt = stratified_folds(once(base), "_key", "_y", seeds, folds)
+    rows = once(dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("held")).withColumn("_train", F.col("fold") != F.col("held")))
     out = rows.filter("not _train").select("_key", "_y", "seed", "fold")
     sets = {"size": ["size"], "signal": [], "size_plus_signal": ["size", "signal"], "size_plus_level": ["size", "level"]}
     for name, columns in sets.items():
         own, names = _splined(rows, columns, knots) if columns else (rows, ["signal"])
         out = out.join(_classified(own, names, f"p_{name}").select("_key", "seed", f"p_{name}"), ["_key", "seed"])
     own, names = _splined(rows, ["size"], knots)
-    scaled = _scaled(own, names, _standardised(own.filter("_train"), names)).withColumn("_t", F.col("signal"))
+    own = once(own)
+    scaled = once(_scaled(own, names, _standardised(own.filter("_train"), names)).withColumn("_t", F.col("signal")))
     left = _applied(scaled, names, _ridge_fit(scaled.filter("_train"), names), "_guess", raw=True).withColumn("rest", F.col("signal") - F.col("_guess"))
     out = out.join(_classified(left.select("_key", "_y", "seed", "held", "_train", "rest"), ["rest"], "p_signal_residualised").select("_key", "seed", "p_signal_residualised"), ["_key", "seed"])
     long = out.unpivot(["_key", "_y", "seed", "fold"], [f"p_{m}" for m in METHODS], "method", "probability")
@@ -147,7 +166,7 @@ def audit(df: DataFrame, key: str, labels: list[str], size: str, signal: str, le
     summaries, intervals = [], []
     for label in labels:
         out, _ = predictions(df, key, label, size, signal, level, seeds, folds)
-        out = out.persist()
+        out = once(out)
         long = out.unpivot(["seed", label], [f"p_{m}" for m in METHODS], "method", "probability")
         per = rankstats.auroc(long, ["seed", "method"], "probability", label)
         summaries.append(per.groupBy("method").agg(F.avg("auroc").alias("mean"), F.coalesce(F.stddev_samp("auroc"), F.lit(0.0)).alias("std")).select(F.lit(label).alias("label"), F.regexp_replace("method", "^p_", "").alias("method"), "mean", "std"))
