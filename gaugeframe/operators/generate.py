@@ -10,9 +10,13 @@ from gaugeframe.functions import lexer
 SCHEMA = "item_id string, root_id string, parent_id string, pair_id string, kind string, edit string, side string, text string, contract_ok boolean, statement_changed boolean, skipped boolean"
 
 
-def candidates(df: DataFrame, key: str, text: str, valid: str, seed: int = 17, preserving: tuple[str, ...] = tuple(lexer.PRESERVING), violating: tuple[str, ...] = tuple(lexer.VIOLATING)) -> DataFrame:
+def candidates(df: DataFrame, key: str, text: str, valid: str, seed: int = 17, preserving: tuple[str, ...] = tuple(lexer.PRESERVING), violating: tuple[str, ...] = tuple(lexer.VIOLATING), contents: bool = True) -> DataFrame:
     """An edit that does not apply gives a row with skipped true and no text. Sources that cannot be
-    read (unterminated comment or string) give themselves alone, all edits skipped."""
+    read (unterminated comment or string) give themselves alone, all edits skipped. The text is null
+    unless ``contents``.
+
+    Sources are dealt out evenly first: each costs about a millisecond, and a small file of many
+    sources would be one task."""
 
     def tried(name: str, source: str, item: str):
         try:
@@ -46,6 +50,9 @@ def candidates(df: DataFrame, key: str, text: str, valid: str, seed: int = 17, p
                 part = batch.slice(low, 256)
                 made = [r for item, source, ok in zip(*[c.to_pylist() for c in part.columns], strict=True) for r in rows(item, source or "", bool(ok))]
                 columns = list(zip(*made, strict=True)) or [()] * len(fields)
+                if not contents:
+                    columns[7] = [None] * len(made)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
-    return df.select(df[key].cast("string"), text, valid).mapInArrow(run, SCHEMA)
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(df[key].cast("string"), text, valid).repartition(tasks).mapInArrow(run, SCHEMA)
