@@ -2,6 +2,8 @@ from pyspark.sql import functions as F
 
 from gaugeframe.functions import lexer
 from gaugeframe.operators import generate
+from gaugeframe.plans import model_queries
+from gaugeframe.plans.registry import QUERIES
 
 TEXT = "theorem t{} (a b : ℕ) (h : a ≤ 12) : a + b = b + a := by\n  simp [h]\n"
 
@@ -15,6 +17,14 @@ def test_candidates_of_one_partition_are_made_by_several_tasks(spark):
     assert bare.drop("text").exceptAll(rows.drop("text")).isEmpty() and rows.drop("text").exceptAll(bare.drop("text")).isEmpty()
 
 
+def test_generated_candidates_sends_no_texts(spark, monkeypatch):
+    asked = []
+    real = generate.candidates
+    monkeypatch.setattr(model_queries.generate, "candidates", lambda *a, **k: asked.append(k) or real(*a, **k))
+    rows = QUERIES["generated_candidates"](spark, "/root/testdata/sf0.001")
+    assert "text" not in rows.columns and asked == [{"contents": False}]
+
+
 def test_a_text_is_read_once_for_all_edits_and_checks():
     text = TEXT.format(7)
     before = lexer._pieces.__wrapped__
