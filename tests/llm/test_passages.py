@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from gaugeframe.llm import suffix_dedup
@@ -20,3 +22,53 @@ def test_suffix_dedup_counts_words_of_passages_below_its_length(spark, hot):
     assert [got[i].n_repeated for i in range(len(texts))] == want and sum(want) >= 9 * 51
     assert [(got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) for i in range(len(texts))] == suffix_dedup.brute_force(texts, 400)
     assert all(r.n_removed == 0 for r in got.values())
+
+
+@pytest.mark.parametrize("coded", [False, True])
+def test_suffix_dedup_sorts_only_the_cells_that_digests_leave_open(monkeypatch, coded):
+    rng = random.Random(31)
+    dtype, length, gram = (np.uint32, 51, 16) if coded else (np.uint8, 400, 64)
+    made = lambda n: np.array([rng.randrange(1 << 24 if coded else 256) for _ in range(n)], dtype)
+    texts = []
+    for _ in range(40):
+        base = made(5 * length)
+        near = base.copy()
+        near[rng.randrange(len(base))] ^= 1
+        texts += [base, near, np.concatenate([made(9), base[length : 2 * length + 30], made(length)])]
+    raw, offsets = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    w = suffix_dedup.windows(raw, offsets, length, gram)
+    kinds = {}
+    for i in range(len(w["m"])):
+        kinds.setdefault(int(w["mh"][i]), {}).setdefault(int(w["wh"][i]), []).append(i)
+    some = [(v[0], len(v)) for x in kinds.values() if len(x) > 1 for v in x.values()]
+    at = np.array([i for i, _ in some])
+    cut = [raw[offsets[w["doc"][i]] + w["a"][i] : offsets[w["doc"][i]] + w["b"][i] + length].tobytes() for i in at]
+    shard = pa.table({"_key": w["doc"][at], "_digest": at, "mh": w["mh"][at].view(np.int64), **{x: w[x][at] for x in "mab"}, "c": [n for _, n in some], "bytes": pa.array(cut, pa.binary())})
+    sorted_ = []
+    blocks = suffix_dedup.suffix_blocks
+    monkeypatch.setattr(suffix_dedup, "suffix_blocks", lambda t, *more: sorted_.append(len(t)) or blocks(t, *more))
+    got = {(r["_key"], s) for r in suffix_dedup._sorted(length, 1 << 12, coded)(shard).to_pylist() for s in range(r["a"], r["b"] + 1)}
+    seen = Counter(x[i : i + length].tobytes() for x in texts for i in range(len(x) - length + 1))
+    want = {(int(w["doc"][i]), s) for i, n in some if n == 1 for s in range(w["a"][i], w["b"][i] + 1) if seen[texts[w["doc"][i]][s : s + length].tobytes()] > 1}
+    assert got == want and len(want) > 500
+    assert 0 < sum(sorted_) < sum(map(len, cut)) / 3
+
+
+def test_suffix_dedup_bisects_passages_at_words(spark, monkeypatch):
+    rng = random.Random(32)
+    new = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n)]
+    passage = new(70)
+    lists = [new(60) + passage + new(60) for _ in range(20)]
+    counts = []
+    kept = suffix_dedup.stored
+
+    def stored(df, what="step"):
+        out = kept(df, what)
+        counts.extend([out.count()] if what == "cells" else [])
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", stored)
+    df = spark.createDataFrame(list(enumerate(map(" ".join, lists))), "doc_id long, text string")
+    got = suffix_dedup.dedup(df, hot=2, length=1000, passage=51).collect()
+    assert [r.n_repeated for r in got] == [70] * 20
+    assert 0 < sum(counts) <= 20 * 20
