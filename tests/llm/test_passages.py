@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gaugeframe.llm import suffix_dedup
+from gaugeframe.llm import suffix_dedup, unit_dedup
 
 
 @pytest.mark.parametrize("hot", [512, 2])
@@ -72,3 +72,24 @@ def test_suffix_dedup_bisects_passages_at_words(spark, monkeypatch):
     got = suffix_dedup.dedup(df, hot=2, length=1000, passage=51).collect()
     assert [r.n_repeated for r in got] == [70] * 20
     assert 0 < sum(counts) <= 20 * 20
+
+
+def test_unit_dedup_finds_passages_that_are_no_unit(spark):
+    rng = random.Random(33)
+    new = lambda n: ["".join(rng.choice("abcdefghijÉ") for _ in range(rng.randint(1, 6))) for _ in range(n)]
+    passage = new(60)
+    passage[20] += "."
+    lists = [new(rng.randint(5, 30)) + passage + new(rng.randint(5, 30)) for _ in range(6)] + [new(200), new(9) + passage[:50] + new(9), [], [x.upper() for x in passage[9:]], 3 * passage[:30]]
+    texts = [" ".join(x) if i % 2 else "\n ".join(x) for i, x in enumerate(lists)] + [None, " \n"]
+    ids = [None, *range(1, len(texts))]
+    df = spark.createDataFrame(list(zip(ids, texts, ["mine"] * len(texts), strict=True)), "doc_id long, text string, passage_spans string")
+    plain = {r.doc_id: r for r in unit_dedup.dedup_units(df, unit="sentence", min_words=1, min_chars=1000).collect()}
+    assert all(r.n_repeated == 0 and r.passage_spans == "mine" and "n_passage_words" not in r for r in plain.values())
+    got = {r.doc_id: r for r in unit_dedup.dedup_units(df, unit="sentence", min_words=1, min_chars=1000, passage=51).collect()}
+    lowered = [[w.lower() for w in x] for x in lists] + [[], []]
+    seen = Counter(tuple(x[i : i + 51]) for x in lowered for i in range(len(x) - 50))
+    for i, x in zip(ids, lowered, strict=True):
+        want = {j for k in range(len(x) - 50) if seen[tuple(x[k : k + 51])] > 1 for j in range(k, k + 51)}
+        assert {j for s in got[i].passage_spans for j in range(s.start, s.end)} == want and got[i].n_passage_words == len(want), i
+        assert (got[i].n_units, got[i].n_removed, got[i].kept_text) == (plain[i].n_units, 0, plain[i].kept_text)
+    assert [got[i].n_passage_words > 0 for i in ids] == [True] * 6 + [False] * 3 + [True] * 2 + [False] * 2
